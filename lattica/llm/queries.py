@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rule_cascade
+from . import bpe_automaton, rule_cascade
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_rule_cascade": rule_cascade.query,
+        "op7_bpe_automaton": bpe_automaton.query,
     }
 
 
