@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, rule_cascade
+from . import bpe_automaton, language_id, quality_mil, rule_cascade
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_mil": quality_mil.query,
+        "op3_language_id": language_id.query,
         "op4_rule_cascade": rule_cascade.query,
         "op7_bpe_automaton": bpe_automaton.query,
     }
