@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from .common import over_batches, prepare
 
 #: Entries of a worker's table of encoded pieces; it is emptied when full.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 _MEMO_CHARS = 64
-_EVER = 1 << 62
+_EVER, _LABEL_BITS = 1 << 62, 32
 _INNER, _LAST = 0, 1  # keys of a label in a node; all others are symbols
 _CONTROL_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -73,6 +73,8 @@ class Automaton:
                 node = node.setdefault(symbol, {})
             node[_LAST if last else _INNER] = i
         self.table: dict[tuple[int, int], bool] = {}
+        #: the transition table after the last gadget, by state and label
+        self.final: dict[int, bool] = {}
 
     def arc(self, state: int, label: int, time: int) -> bool:
         """Whether the state that label `state` leads to has arc `label` after the gadgets up to `time`."""
@@ -95,16 +97,20 @@ class Automaton:
             self.table[state, label] = known
         return known
 
-    def read(self, symbols: str, start: int) -> list[tuple[int, int]]:
+    def read(self, symbols: str, start: int, end: int) -> list[tuple[int, int]]:
         """(label, stop) of every label that the symbols from start on spell, shortest first."""
-        node, out, end = self.spelled, [], len(symbols)
-        for stop in range(start + 1, end + 1):
-            node = node.get(symbols[stop - 1])
+        node, out, stop = self.spelled, [], start
+        for symbol in symbols[start : end - 1]:
+            node = node.get(symbol)
             if node is None:
-                break
-            label = node.get(_LAST if stop == end else _INNER)
+                return out
+            stop += 1
+            label = node.get(_INNER)
             if label is not None:
                 out.append((label, stop))
+        node = node.get(symbols[end - 1])
+        if node is not None and (label := node.get(_LAST)) is not None:
+            out.append((label, end))
         return out
 
     def encode(self, symbols: str) -> list[int]:
@@ -112,23 +118,38 @@ class Automaton:
 
         Only one path leads to each position, so one that was left is never tried again.
         """
-        end, path, open_, left = len(symbols), [], [self.read(symbols, 0)], set()
+        end, ids, stops, left, table, state = len(symbols), [], [], set(), self.final, -1
+        open_ = [self.read(symbols, 0, end)]
         while open_:
-            if not open_[-1]:
+            choices = open_[-1]
+            if not choices:
                 open_.pop()
-                if path:
-                    left.add(path.pop()[1])
+                if ids:
+                    ids.pop()
+                    left.add(stops.pop())
+                    state = ids[-1] if ids else -1
                 continue
-            label, stop = open_[-1].pop()
-            if stop in left or path and not self.arc(path[-1][0], label, _EVER):
+            label, stop = choices.pop()
+            if stop in left:
                 continue
-            path.append((label, stop))
+            if state >= 0:
+                allowed = table.get(state << _LABEL_BITS | label)
+                if allowed is None:
+                    allowed = table[state << _LABEL_BITS | label] = self.arc(state, label, _EVER)
+                if not allowed:
+                    continue
+            ids.append(label)
             if stop == end:
-                return [x for x, _ in path]
-            open_.append(self.read(symbols, stop))
+                return ids
+            stops.append(stop)
+            state = label
+            open_.append(self.read(symbols, stop, end))
         raise ValueError(f"no path reads {symbols!r}")
 
 
+Part = tuple[list[int], str, str]
+
+
 class Tokenizer:
     """A tokenizer file: normalise, pre-split, encode words; decode ids."""
 
@@ -148,41 +169,47 @@ class Tokenizer:
         self.labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         symbols = byte_symbols()
         self.symbols = {b: symbols[b] for b in range(256)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str, str]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = tuple(self.automaton.encode("".join(map(self.symbols.__getitem__, word.encode("utf-8")))))
+        #: encoded words, and chunks by how they stand in a text
+        self.words: dict[str, Part] = {}
+        self.chunks: dict[str, Part] = {}
+
+    def word(self, word: str) -> Part:
+        part = self.words.get(word)
+        if part is None:
+            symbols = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
+            ids = self.automaton.encode(symbols)
+            part = ids, " ".join(map(str, ids)), self.decode(ids)
             if len(word) <= _MEMO_CHARS:
                 if len(self.words) >= MEMO_ENTRIES:
                     self.words.clear()
-                if len(self.automaton.table) >= 4 * MEMO_ENTRIES:
-                    self.automaton.table.clear()
-                self.words[word] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids of a run without white space, also as text, and their labels joined by spaces."""
-        lower = chunk.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        ids = tuple(i for w in self.pieces.findall(lower) for i in self.word(w))
-        return ids, " ".join(map(str, ids)), self.decode(ids)
+                    if len(self.automaton.final) > 4 * MEMO_ENTRIES:
+                        self.automaton.final.clear()
+                        self.automaton.table.clear()
+                self.words[word] = part
+        return part
+
+    def chunk(self, chunk: str) -> Part:
+        """Ids of a run without white space, the same as text, and their labels joined by spaces."""
+        lower = chunk.lower() if chunk.isascii() else chunk.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        if lower.isalpha():
+            return self.word(lower)
+        parts = [self.word(w) for w in self.pieces.findall(lower)]
+        return [i for p in parts for i in p[0]], " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
     def decode(self, ids) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+    def parts(self, text: str) -> list[Part]:
         """The encoded chunks of a text in order."""
         if "<|" in text and len(split := self.special_split.split(text)) > 1:
             return [p for x in split for p in (self.one_special(x) if x in self.special else self.plain(x))]
         return self.plain(text)
 
-    def one_special(self, label: str) -> list[tuple[tuple[int, ...], str, str]]:
+    def one_special(self, label: str) -> list[Part]:
         i = self.special[label]
-        return [((i,), str(i), label)]
+        return [([i], str(i), label)]
 
-    def plain(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+    def plain(self, text: str) -> list[Part]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         chunks = regex.split(r"\s+", text) if any(c in text for c in _CONTROL_SPACES) else text.split()
