@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that holds whole texts: bounds a Python worker's memory.
-TEXT_ROWS_PER_BATCH = 256
+#: Bytes in an Arrow batch, as texts may be long: bounds a Python worker's memory.
+BATCH_BYTES = "4m"
 
 _shipped: set[str] = set()
 
@@ -22,7 +22,7 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Make this package importable on executors and bound the Arrow batches of texts."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
@@ -87,3 +87,18 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Slots of near_ids: an upper bound of the rows that it broadcasts.
+SLOTS = 1 << 20
+
+
+def near_ids(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of docs whose doc_id falls into a slot that an id of `ids` (doc_id) falls into, or else the others.
+
+    A superset of the rows with these ids, without a shuffle of docs: what is
+    broadcast is slot numbers, SLOTS of them at most however many ids there are.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = ids.select(slot.alias("__slot")).distinct()
+    return docs.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi" if inside else "left_anti").drop("__slot")
