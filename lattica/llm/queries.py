@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, language_id, ngram_join, quality_mil, rule_cascade
+from . import bpe_automaton, language_id, line_dedup, ngram_join, quality_mil, rule_cascade
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language_id.query,
         "op4_rule_cascade": rule_cascade.query,
         "op7_bpe_automaton": bpe_automaton.query,
+        "op9_line_dedup": line_dedup.query,
         "op10_ngram_join": ngram_join.query,
     }
 
