@@ -93,12 +93,12 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
 SLOTS = 1 << 20
 
 
-def near_ids(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of docs whose doc_id falls into a slot that an id of `ids` (doc_id) falls into, or else the others.
+def near_ids(docs: DataFrame, ids: DataFrame, inside: bool = True, on: str = "doc_id") -> DataFrame:
+    """Rows of docs whose doc_id (or other column `on`) falls into a slot that one of `ids` falls into, or else the others.
 
     A superset of the rows with these ids, without a shuffle of docs: what is
     broadcast is slot numbers, SLOTS of them at most however many ids there are.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slot = F.pmod(F.xxhash64(on), F.lit(SLOTS))
     slots = ids.select(slot.alias("__slot")).distinct()
     return docs.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi" if inside else "left_anti").drop("__slot")

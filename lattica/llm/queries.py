@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, language_id, license_scan, line_dedup, ngram_join, pfair_mix, quality_mil, rule_cascade, topk_blocks
+from . import bpe_automaton, capture_index, language_id, license_scan, line_dedup, ngram_join, pfair_mix, quality_mil, rule_cascade, topk_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_mil": quality_mil.query,
+        "op2_capture_index": capture_index.query,
         "op3_language_id": language_id.query,
         "op4_rule_cascade": rule_cascade.query,
         "op5_pfair_mix": pfair_mix.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_capture_index": capture_index.ORACLE_SQL,
         "op4_rule_cascade": rule_cascade.ORACLE_SQL,
         "op6_topk_blocks": topk_blocks.ORACLE_SQL,
     }
