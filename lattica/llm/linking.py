@@ -7,11 +7,12 @@ are written out:
    each batch does that for its own sets first, so a key of many sets sends one
    row from each batch. Star pairs that filters do not rule out are verified.
 2. Verified links give components. A key whose sets are all in one component is
-   done. In the others, pairs between components remain, less those that the
-   known overlaps with the hub decide; they are verified too.
+   done. In the others, pairs between components remain. If both sets resemble a
+   common hub, their overlap follows from how each differs from it, so they are
+   looked for in an index of these differences. For others, the known overlaps
+   with the hub and the key's positions rule out most; the rest is verified.
 
-Both steps together decide every pair that shares a key. Keys are read as sorted
-streams, so memory does not depend on a key's number of sets.
+Both steps together decide every pair that shares a key.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, table
+from .common import forget, over_batches, table
 
 #: key; set id; its size and the key's position in it; hub; whether the set alone of its batch stands for a key that has more
 POSTING = "key long, id long, size int, pos int, hub long, hub_size int, hub_pos int, more boolean"
@@ -92,15 +93,24 @@ def groups(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stars, POSTING)
 
 
-def cross_pairs(rows: DataFrame, possible: Callable, decided: Callable) -> DataFrame:
-    """Pairs (a, b) of one key and different labels that filters leave open.
+MEASURED = "a long, b long, na long, nb long, least long, most long, linked boolean, diff binary"
 
-    rows: key, id, size, pos, hub, label, inter (overlap with the hub, or null).
-    possible(size, pos, size, pos) and decided(...) work on arrays.
+
+def measured_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in MEASURED.split(", ")])
+
+
+def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Callable) -> DataFrame:
+    """Distinct pairs (a, b) of ids of one key, a < b, for which open_(x, y) holds.
+
+    columns: key, id, size and what open_ looks at, all numbers. Blocks of sets
+    by size are compared; apart(large, small) says that no pair of such sizes is
+    open, by which blocks are skipped.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "size", "id")
-    names = ["key", "id", "size", "pos", "hub", "label", "inter", "hub_size"]
+    dealt = rows.select(*columns).repartition(n, "key").sortWithinPartitions("key", "size", "id")
 
     def open_pairs(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = len(run["id"])
@@ -108,13 +118,12 @@ def cross_pairs(rows: DataFrame, possible: Callable, decided: Callable) -> DataF
             x = {k: v[i : i + BLOCK, None] for k, v in run.items()}
             for j in range(i, total, BLOCK):
                 y = {k: v[None, j : j + BLOCK] for k, v in run.items()}
-                # sorted by size: a block of sets that are all too large is skipped, and so are all after it
-                if j > i and not possible(run["size"][min(i + BLOCK, total) - 1], 0, y["size"][0, 0], 0):
+                # sorted by size: what is too large here is so from here on
+                if j > i and apart(y["size"][0, 0], x["size"][-1, 0]):
                     break
-                ok = (x["label"] != y["label"]) & (x["id"] != y["hub"]) & (y["id"] != x["hub"]) & possible(x["size"], x["pos"], y["size"], y["pos"])
+                ok = open_(x, y)
                 if i == j:
-                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :]
-                ok &= ~decided(x, y)
+                    ok = ok & (np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :])
                 p, q = np.nonzero(ok)
                 if len(p):
                     a, b = x["id"][p, 0], y["id"][0, q]
@@ -125,19 +134,55 @@ def cross_pairs(rows: DataFrame, possible: Callable, decided: Callable) -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(names)}
+            c = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(columns)}
             cuts = np.flatnonzero(c["key"][1:] != c["key"][:-1]) + 1
-            pieces = np.split(np.arange(batch.num_rows), cuts)
-            for piece in pieces:
+            for piece in np.split(np.arange(batch.num_rows), cuts):
                 part = {k: v[piece] for k, v in c.items()}
                 if held and held[-1]["key"][0] != part["key"][0]:
-                    yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in names})
+                    yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in columns})
                     held = []
                 held.append(part)
         if held:
-            yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in names})
+            yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in columns})
+
+    return dealt.mapInArrow(each, "a long, b long").distinct()
+
+
+def difference(hub: set, other: set, code: Callable[[object], int]) -> bytes | None:
+    """How a set differs from a hub that it has much in common with: count of additions, additions, removals, as 64-bit codes."""
+    inter = len(hub & other)
+    if 2 * inter < len(hub) + len(other) - inter:
+        return None
+    more, less = (sorted(code(x) for x in s) for s in (other - hub, hub - other))
+    return np.array([len(more), *more, *less], np.uint64).tobytes()
+
+
+def difference_rows(measured: DataFrame, percent: int) -> DataFrame:
+    """An index of the differences from common hubs.
+
+    For sets x and y, both compared with hub h: |x & y| = |h| - |h - x| - |h - y|
+    + the overlap of their differences (additions and removals). For x, y similar
+    and x not similar to h that overlap is at least
+    (percent (|x| + |h|) - (100 + percent) |x & h|) / 100, so all but that many of
+    x's differences, plus one, hold a shared one. Sets similar to h index all of
+    theirs. Additions, the rarer ones, come first.
+    """
+    names = ["key", "id", "hub", "size", "pos", "both", "n", "hub_n"]
 
-    return dealt.select(*names).mapInArrow(each, "a long, b long").distinct()
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in names]
+        for a, b, na, nb, linked, diff in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            codes = np.frombuffer(diff, np.uint64)[1:]
+            gone = len(codes) - int(np.frombuffer(diff, np.uint64)[0])
+            both = na - gone
+            least = 1 if linked else max(1, -(-(percent * (nb + na) - (100 + percent) * both) // 100))
+            count = max(0, len(codes) - least + 1)
+            keys = ((codes[:count] ^ np.uint64(a & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            for c, v in zip(out, (keys, np.full(count, b), np.full(count, a), np.full(count, len(codes)), np.arange(count), np.full(count, both), np.full(count, nb), np.full(count, na)), strict=True):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=names)
+
+    return over_batches(measured.where("diff is not null").select("a", "b", "na", "nb", "linked", "diff"), run, ", ".join(f"{x} long" for x in names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,33 +213,63 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def link(postings: DataFrame, measure: Callable[[DataFrame], DataFrame], possible: Callable, decided: Callable) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) of all sets that share a key and are similar.
+def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) of all sets that share a key and have that Jaccard similarity.
 
-    measure takes pairs (a, b) and returns (a, b, inter, linked) of those that
-    may be similar: their overlap and the verdict. possible(size, pos, size, pos)
-    says whether sets that share a key at these positions can be similar.
-    decided(x, y) says which pairs are settled as not similar by the hub's
-    overlaps.
+    measure(pairs, diffs) takes pairs (a, b) and returns (a, b, na, nb, least,
+    most, linked, diff): set sizes, bounds of their overlap and the verdict; with
+    diffs also difference(a's set, b's set) where there is one. It may leave out
+    pairs that are not linked; with diffs only such without a difference.
+    Postings with size 0 say that sizes are not known.
     links: a, b. labels: id, root of every set that has a link.
     """
-    g = table(groups(postings), "groups")
-    stars = g.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "size", "pos", "hub_size", "hub_pos")
-    names = ["a", "b", "size", "pos", "hub_size", "hub_pos"]
+    up = 100 + percent
+
+    def sized(n1, n2):
+        return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [batch.column(i).to_numpy() for i in range(len(names))]
-            yield batch.select(["a", "b"]).filter(pa.array(np.broadcast_to(possible(*c[2:]), len(c[0]))))
+            n1, n2 = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(sized(n1, n2)))
 
-    first = table(measure(stars.mapInArrow(filtered, "a long, b long").distinct()), "measured")
+    g = table(groups(postings), "groups")
+    # a hub has the least id of its sets
+    stars = g.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "size", "hub_size").mapInArrow(sizes_fit, "a long, b long").distinct()
+    first = table(measure(stars, True), "measured")
     one = first.where("linked").select("a", "b")
     labels = table(components(one), "labels")
-    known = first.select("a", "b", "inter")
-    marked = g.join(labels.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    label = lambda df: df.join(labels.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    # what is left by differences from a common hub
+    by_hub = first.where("diff is not null").groupBy("a").agg(F.min("linked").alias("all")).where("not all").select("a")
+    rows = label(difference_rows(first.join(by_hub, "a", "left_semi"), percent))
+
+    def shared_enough(x, y):
+        need = -(-percent * (x["n"] + y["n"]) // up) + x["hub_n"] - x["both"] - y["both"]
+        return (x["label"] != y["label"]) & (np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need)
+
+    near = cross_pairs(rows, ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, lambda large, small: False)
+
+    # what is left by keys: sets that are not both known to resemble their hub
+    marked = label(g)
     split = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("key")
-    rows = marked.join(split, "key").select("key", "id", "size", "pos", "hub", "label", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "hub_size")
-    rows = rows.join(known, ["a", "b"], "left").withColumn("inter", F.when(F.col("id") == F.col("hub"), F.col("size")).otherwise(F.coalesce("inter", F.lit(-1))))
-    two = measure(cross_pairs(rows, possible, decided)).where("linked").select("a", "b")
+    known = first.select(F.col("a").alias("hub"), F.col("b").alias("id"), "least", "most", F.col("diff").isNotNull().cast("int").alias("near"))
+    rows = marked.join(split, "key").select("key", "id", "size", "pos", "hub", "label").join(known, ["hub", "id"], "left")
+    at_hub = F.col("id") == F.col("hub")
+    rows = rows.withColumn("least", F.when(at_hub, F.col("size")).otherwise(F.coalesce("least", F.lit(0)))).withColumn("most", F.when(at_hub, F.col("size")).otherwise(F.coalesce("most", "size"))).withColumn("near", F.when(at_hub, 1).otherwise(F.coalesce("near", F.lit(0))))
+
+    def undecided(x, y):
+        n1, n2 = x["size"].astype(np.int64), y["size"].astype(np.int64)
+        # a pair is looked at where its first shared key is: nothing before it counts
+        room = np.minimum(n1 - x["pos"], n2 - y["pos"])
+        same = x["hub"] == y["hub"]
+        room = np.where(same, np.minimum(room, np.minimum(x["most"], y["most"]) + np.minimum(n1 - x["least"], n2 - y["least"])), room)
+        # size 0: sizes are not known, and rule out nothing
+        fits = (n1 == 0) | (n2 == 0) | sized(n1, n2) & (up * room >= percent * (n1 + n2))
+        return (x["label"] != y["label"]) & fits & ~(same & (x["near"] == 1) & (y["near"] == 1)) & (x["id"] != y["hub"]) & (y["id"] != x["hub"])
+
+    far = cross_pairs(rows, ["key", "id", "size", "pos", "hub", "label", "least", "most", "near"], undecided, lambda large, small: 100 * small < percent * large)
+    two = measure(near.union(far).distinct(), False).where("linked").select("a", "b")
     links = table(one.union(two).distinct(), "links")
     return links, table(components(links), "labels")

@@ -11,9 +11,10 @@ shingles with set size and position:
 
 * lists are read in blocks by size, and pairs are skipped whose sizes or
   positions leave too little room for the overlap;
-* a list's sets are first measured against one hub set; for the other pairs the
-  answer is derived from their overlaps with that hub where it decides, and sets
-  that are already in one component need none. Only the rest is measured.
+* a list's sets are first measured against one hub set; sets that are then in
+  one component need no more. For two sets that resemble a hub the answer is
+  derived from how each differs from it; for others the overlaps with the hub
+  bound theirs. Only what these leave open is measured.
 
 Everything that is measured is measured on the words themselves.
 
@@ -152,51 +153,46 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
     sized = w.select("rid", "n", "signature")
     where_ = w.select("rid", "doc_id", "h")
 
-    def possible(n1, p1, n2, p2):
-        room = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
-        n1, n2 = np.int64(n1) if np.isscalar(n1) else n1.astype(np.int64), np.int64(n2) if np.isscalar(n2) else n2.astype(np.int64)
-        return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((100 + percent) * room.astype(np.int64) >= percent * (n1 + n2))
-
-    def decided(x, y):
-        known = (x["hub"] == y["hub"]) & (x["inter"] >= 0) & (y["inter"] >= 0)
-        most = np.minimum(x["inter"], y["inter"]) + np.minimum(x["size"] - x["inter"], y["size"] - y["inter"])
-        return known & ((100 + percent) * most.astype(np.int64) < percent * (x["size"].astype(np.int64) + y["size"]))
-
-    def room(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def bounded(batch: pa.RecordBatch, bar: int) -> pa.RecordBatch:
+        """What signatures leave of the pairs: those that may have a similarity of bar percent."""
         a, b, na, nb, sa, sb = (batch.column(i) for i in range(6))
         ok = []
         for x, y, s, t in zip(na.to_pylist(), nb.to_pylist(), sa.to_pylist(), sb.to_pylist(), strict=True):
             most = min(x, y) if s is None or t is None else int(np.minimum(np.frombuffer(s, np.uint16), np.frombuffer(t, np.uint16)).sum())
-            ok.append((100 + percent) * most >= percent * (x + y))
+            ok.append((100 + bar) * most >= bar * (x + y))
         return pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, set()
-        for batch in batches:
-            inter, linked = [], []
-            for a, x, y in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3)), strict=True):
-                if a != last:
-                    last, mine = a, exact_set(x, n)
-                other = exact_set(y, n)
-                k = len(mine & other)
-                inter.append(k)
-                linked.append(100 * k >= percent * (len(mine) + len(other) - k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "inter", "linked"])
-
-    def measure(pairs: DataFrame) -> DataFrame:
+    def code(shingle: tuple[bytes, ...]) -> int:
+        return xxhash.xxh3_64_intdigest(b" ".join(shingle))
+
+    def measure(pairs: DataFrame, diffs: bool) -> DataFrame:
+        def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, mine = None, set()
+            for batch in batches:
+                out = []
+                for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3)), strict=True):
+                    if a != last:
+                        last, mine = a, exact_set(x, n)
+                    other = exact_set(y, n)
+                    k = len(mine & other)
+                    linked = 100 * k >= percent * (len(mine) + len(other) - k)
+                    out.append((a, b, len(mine), len(other), k, k, linked, linking.difference(mine, other, code) if diffs else None))
+                yield linking.measured_batch(out)
+
         side = lambda c, k: sized.select(F.col("rid").alias(c), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
         open_ = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "s1", "s2")
-        open_ = table(over_batches(open_, room, "a long, b long"), "pairs")
+        # a difference needs a similarity of a half
+        open_ = table(over_batches(open_, lambda batch: bounded(batch, 50 if diffs else percent), "a long, b long"), "pairs")
         ids = open_.select(F.col("a").alias("rid")).union(open_.select("b")).distinct().join(where_, "rid")
         ids = table(ids, "ids")
         near = near_ids(docs.select("doc_id", "text"), ids).withColumn("h", F.xxhash64("text")).alias("d")
         texts = near.join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id and d.h = i.h")).select("i.rid", "d.text")
-        texts = table(texts, "texts")
+        texts = table(texts.dropDuplicates(["rid"]), "texts")
         both = open_.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long, inter long, linked boolean").dropDuplicates(["a", "b"])
+        return both.select("a", "b", "x", "y").mapInArrow(overlap, linking.MEASURED)
 
     reps = w.join(classes.select("rid"), "rid", "left_semi")
-    _, labels = linking.link(postings(reps), measure, possible, decided)
+    _, labels = linking.link(postings(reps), measure, percent)
     # classes that are alone and have no copies keep their own id: only the others are joined to the rows
     marked = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").where("root is not null or copies > 1").select("digest", "least", F.coalesce("root", "rid").alias("root"))
     least = marked.groupBy("root").agg(F.min("least").alias("least"))
