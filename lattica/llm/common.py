@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = "4m"
 
 _shipped: set[str] = set()
+_of_stage: list[DataFrame] | None = None
+_last_stage: list[DataFrame] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -54,14 +57,33 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lattica_path = path
+    if _of_stage is not None:
+        _of_stage.append(out)
     return out
 
 
+@contextlib.contextmanager
+def stage_of_pipeline() -> Iterator[None]:
+    """Within it, tables are noted and go when the next stage of a pipeline begins: what they led to is written by then."""
+    global _of_stage
+    for df in _last_stage:
+        forget(df)
+    _last_stage.clear()
+    _of_stage = []
+    try:
+        yield
+    finally:
+        _last_stage.extend(_of_stage)
+        _of_stage = None
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table() that no later result reads."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._lattica_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if _of_stage is not None:
+        _of_stage[:] = [x for x in _of_stage if x is not df]
 
 
 def held_out(doc_id: Column) -> Column:
