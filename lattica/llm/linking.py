@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, over_batches, table
@@ -47,7 +47,7 @@ def batch_stars(key: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndar
 
 
 def groups(postings: DataFrame) -> DataFrame:
-    """Of keys with two sets or more, each set and its hub: the batch's, or for batch hubs the key's."""
+    """Of keys with two sets or more, each set and its hub: the batch's, or for batch hubs (`more`) the key's."""
     # rows that have their hub in their batch go anywhere; the others meet by key
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.repartition(n, "key", F.when(F.col("id") != F.col("hub"), F.col("id"))).sortWithinPartitions("key", "id")
@@ -79,7 +79,7 @@ def groups(postings: DataFrame) -> DataFrame:
                 give[at[follows]] = True
                 give[at[:-1][follows[1:]]] = True
                 if lead and waiting is not None:
-                    yield waiting
+                    yield waiting.set_column(len(_NAMES) - 1, _NAMES[-1], pa.array([True]))
                 last = at[-1]
                 waiting = None
                 if lead < len(at):
@@ -87,6 +87,7 @@ def groups(postings: DataFrame) -> DataFrame:
                     hub = tuple(c[x][h].item() for x in ("key", "id", "size", "pos"))
                     if not give[last]:  # alone so far
                         waiting = batch.slice(int(last), 1)
+            out["more"] = own
             if give.any():
                 yield pa.RecordBatch.from_arrays([pa.array(out[x][give]) for x in _NAMES], names=_NAMES)
 
@@ -158,31 +159,36 @@ def difference(hub: set, other: set, code: Callable[[object], int]) -> bytes | N
 
 
 def difference_rows(measured: DataFrame, percent: int) -> DataFrame:
-    """An index of the differences from common hubs.
+    """An index of the differences from common hubs: key, id, hub, size, pos, both, n, hub_n.
 
     For sets x and y, both compared with hub h: |x & y| = |h| - |h - x| - |h - y|
     + the overlap of their differences (additions and removals). For x, y similar
     and x not similar to h that overlap is at least
     (percent (|x| + |h|) - (100 + percent) |x & h|) / 100, so all but that many of
     x's differences, plus one, hold a shared one. Sets similar to h index all of
-    theirs. Additions, the rarer ones, come first.
+    theirs. The differences that the fewest sets have come first.
     """
-    names = ["key", "id", "hub", "size", "pos", "both", "n", "hub_n"]
+    names = ["key", "id", "hub", "size", "both", "n", "hub_n", "least"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in names]
+        out: list[list] = [[np.zeros(0, np.int64)] for _ in names]
         for a, b, na, nb, linked, diff in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             codes = np.frombuffer(diff, np.uint64)[1:]
-            gone = len(codes) - int(np.frombuffer(diff, np.uint64)[0])
-            both = na - gone
+            count = len(codes)
+            both = na - (count - int(np.frombuffer(diff, np.uint64)[0]))
             least = 1 if linked else max(1, -(-(percent * (nb + na) - (100 + percent) * both) // 100))
-            count = max(0, len(codes) - least + 1)
-            keys = ((codes[:count] ^ np.uint64(a & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            for c, v in zip(out, (keys, np.full(count, b), np.full(count, a), np.full(count, len(codes)), np.arange(count), np.full(count, both), np.full(count, nb), np.full(count, na)), strict=True):
+            keys = ((codes ^ np.uint64(a & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            for c, v in zip(out, (keys, *(np.full(count, x) for x in (b, a, count, both, nb, na, least))), strict=True):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=names)
 
-    return over_batches(measured.where("diff is not null").select("a", "b", "na", "nb", "linked", "diff"), run, ", ".join(f"{x} long" for x in names))
+    rows = table(over_batches(measured.where("diff is not null").select("a", "b", "na", "nb", "linked", "diff"), run, ", ".join(f"{x} long" for x in names)), "differences")
+    # what one set alone has can't be shared
+    shared = rows.groupBy("key").agg(F.count("*").alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("hub", "id").orderBy(F.desc("sets"), "key"))
+    # counted from the most frequent one, as those that are not shared come first: pos = size - rank
+    placed = rows.join(shared.where("sets > 1"), "key").withColumn("pos", F.col("size") - rank)
+    return placed.where("pos <= size - least").select("key", "id", "hub", "size", "pos", "both", "n", "hub_n")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,7 +239,11 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
             n1, n2 = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(sized(n1, n2)))
 
-    g = table(groups(postings), "groups")
+    # of a key's sets all have its one hub in the end
+    met = table(groups(postings), "groups")
+    top = met.where("more").select("key", F.col("id").alias("hub"), F.col("hub").alias("to"), F.col("hub_size").alias("to_size"))
+    apart = met.where("not more").join(top, ["key", "hub"]).select("key", "id", "size", "pos", F.col("to").alias("hub"), F.col("to_size").alias("hub_size"))
+    g = table(met.where("more").select("key", "id", "size", "pos", "hub", "hub_size").union(apart), "hubs")
     # a hub has the least id of its sets
     stars = g.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "size", "hub_size").mapInArrow(sizes_fit, "a long, b long").distinct()
     first = table(measure(stars, True), "measured")
@@ -241,15 +251,21 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
     labels = table(components(one), "labels")
     label = lambda df: df.join(labels.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    # what is left by differences from a common hub
+    # what is left by differences from a common hub: stars again, then pairs between what is still apart
     by_hub = first.where("diff is not null").groupBy("a").agg(F.min("linked").alias("all")).where("not all").select("a")
-    rows = label(difference_rows(first.join(by_hub, "a", "left_semi"), percent))
+    rows = table(difference_rows(first.join(by_hub, "a", "left_semi"), percent), "difference_keys")
+    least = label(rows).groupBy("key").agg(F.min(F.struct("id", "label", "size", "pos", "both", "n")).alias("m"))
+    need = F.ceil(percent * (F.col("n") + F.col("m.n")) / up) + F.col("hub_n") - F.col("both") - F.col("m.both")
+    open_ = (F.col("label") != F.col("m.label")) & (F.least(F.col("size") - F.col("pos"), F.col("m.size") - F.col("m.pos")) >= need)
+    again = measure(label(rows).join(least, "key").where(open_).select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct(), False)
+    one = table(one.union(again.where("linked").select("a", "b")), "star_links")
+    labels = table(components(one), "labels")
 
     def shared_enough(x, y):
         need = -(-percent * (x["n"] + y["n"]) // up) + x["hub_n"] - x["both"] - y["both"]
         return (x["label"] != y["label"]) & (np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need)
 
-    near = cross_pairs(rows, ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, lambda large, small: False)
+    near = cross_pairs(label(rows), ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, lambda large, small: False)
 
     # what is left by keys: sets that are not both known to resemble their hub
     marked = label(g)
