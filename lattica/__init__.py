@@ -1,0 +1 @@
+"""Classification of OWL 2 EL ontologies with Spark DataFrames."""
