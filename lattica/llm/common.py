@@ -56,7 +56,7 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._lattica_path = path
+    out._lattica_path, out._lattica_paths = path, [path]
     if _of_stage is not None:
         _of_stage.append(out)
     return out

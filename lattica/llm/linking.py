@@ -29,8 +29,10 @@ from .common import forget, over_batches, table
 #: key; set id; its size and the key's position in it; hub; whether the set alone of its batch stands for a key that has more
 POSTING = "key long, id long, size int, pos int, hub long, hub_size int, hub_pos int, more boolean"
 _NAMES = [x.split()[0] for x in POSTING.split(", ")]
-#: Sets of a key that are compared with each other at a time.
-BLOCK = 1024
+#: Sets of a key that are compared with each other at a time; hubs that a key's sets are compared with.
+BLOCK, HUBS = 1024, 2
+#: Similarity in percent from which a set is described by its difference from a hub.
+NEAR = 70
 
 
 def batch_stars(key: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -103,10 +105,19 @@ def measured_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in MEASURED.split(", ")])
 
 
+def union_of(*parts: DataFrame) -> DataFrame:
+    """One scan over several written tables of one schema."""
+    paths = [p for df in parts for p in df._lattica_paths]
+    out = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths)
+    out._lattica_paths = paths
+    return out
+
+
 def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Callable) -> DataFrame:
     """Distinct pairs (a, b) of ids of one key, a < b, for which open_(x, y) holds.
 
-    columns: key, id, size and what open_ looks at, all numbers. Blocks of sets
+    columns: key, id, size, label and what open_ looks at, all numbers; pairs of one
+    label are not open. Blocks of sets
     by size are compared; apart(large, small) says that no pair of such sizes is
     open, by which blocks are skipped.
     """
@@ -136,9 +147,13 @@ def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Cal
             if not batch.num_rows:
                 continue
             c = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(columns)}
-            cuts = np.flatnonzero(c["key"][1:] != c["key"][:-1]) + 1
-            for piece in np.split(np.arange(batch.num_rows), cuts):
-                part = {k: v[piece] for k, v in c.items()}
+            start = np.flatnonzero(np.r_[True, c["key"][1:] != c["key"][:-1]])
+            stop = np.r_[start[1:], batch.num_rows]
+            # keys within the batch whose sets all have one label have no open pair
+            mixed = np.minimum.reduceat(c["label"], start) != np.maximum.reduceat(c["label"], start)
+            mixed[0] = mixed[-1] = True
+            for i, j in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
+                part = {k: v[i:j] for k, v in c.items()}
                 if held and held[-1]["key"][0] != part["key"][0]:
                     yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in columns})
                     held = []
@@ -152,7 +167,7 @@ def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Cal
 def difference(hub: set, other: set, code: Callable[[object], int]) -> bytes | None:
     """How a set differs from a hub that it has much in common with: count of additions, additions, removals, as 64-bit codes."""
     inter = len(hub & other)
-    if 2 * inter < len(hub) + len(other) - inter:
+    if 100 * inter < NEAR * (len(hub) + len(other) - inter):
         return None
     more, less = (sorted(code(x) for x in s) for s in (other - hub, hub - other))
     return np.array([len(more), *more, *less], np.uint64).tobytes()
@@ -225,7 +240,7 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
     measure(pairs, diffs) takes pairs (a, b) and returns (a, b, na, nb, least,
     most, linked, diff): set sizes, bounds of their overlap and the verdict; with
     diffs also difference(a's set, b's set) where there is one. It may leave out
-    pairs that are not linked; with diffs only such without a difference.
+    pairs that are not linked and, with diffs, have no difference.
     Postings with size 0 say that sizes are not known.
     links: a, b. labels: id, root of every set that has a link.
     """
@@ -242,11 +257,27 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
     # of a key's sets all have its one hub in the end
     met = table(groups(postings), "groups")
     top = met.where("more").select("key", F.col("id").alias("hub"), F.col("hub").alias("to"), F.col("hub_size").alias("to_size"))
-    apart = met.where("not more").join(top, ["key", "hub"]).select("key", "id", "size", "pos", F.col("to").alias("hub"), F.col("to_size").alias("hub_size"))
-    g = table(met.where("more").select("key", "id", "size", "pos", "hub", "hub_size").union(apart), "hubs")
-    # a hub has the least id of its sets
-    stars = g.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "size", "hub_size").mapInArrow(sizes_fit, "a long, b long").distinct()
-    first = table(measure(stars, True), "measured")
+    moved = met.where("not more").join(top, ["key", "hub"]).select("key", "id", "size", "pos", F.col("to").alias("hub1"), F.col("to_size").alias("hub_size"))
+    g = table(met.where("more").select("key", "id", "size", "pos", F.col("hub").alias("hub1"), "hub_size").union(moved), "hubs")
+    # rounds of stars: what does not resemble a key's hub gets another one there
+    measured: list[DataFrame] = []
+    for t in range(1, HUBS + 1):
+        if t > 1:
+            far = g.where(" and ".join(f"near{k} = 0" for k in range(1, t)))
+            least = far.groupBy("key").agg(F.min(F.struct("id", "size")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.id").alias(f"hub{t}"), F.col("m.size").alias("hub_size"))
+            g = g.drop("hub_size").join(least, "key", "left")
+            g = g.withColumn(f"hub{t}", F.when(F.expr(" and ".join(f"near{k} = 0" for k in range(1, t))), F.col(f"hub{t}")))
+        stars = g.where(f"id <> hub{t}").select(F.col(f"hub{t}").alias("a"), F.col("id").alias("b"), "size", "hub_size").mapInArrow(sizes_fit, "a long, b long").distinct()
+        if t > 1:
+            stars = stars.join(measured[-1].select("a", "b"), ["a", "b"], "left_anti")
+        new = table(measure(stars, True), "measured")
+        measured.append(new if t == 1 else union_of(measured[-1], new))
+        known = measured[-1].select(F.col("a").alias(f"hub{t}"), F.col("b").alias("id"), F.col("least").alias(f"least{t}"), F.col("most").alias(f"most{t}"), F.col("diff").isNotNull().cast("int").alias(f"near{t}"))
+        at_hub = F.col("id") == F.col(f"hub{t}")
+        g = g.join(known, [f"hub{t}", "id"], "left")
+        g = g.withColumn(f"least{t}", F.when(at_hub, F.col("size")).otherwise(F.coalesce(f"least{t}", F.lit(0)))).withColumn(f"most{t}", F.when(at_hub, F.col("size")).otherwise(F.coalesce(f"most{t}", "size"))).withColumn(f"near{t}", F.when(at_hub, 1).otherwise(F.coalesce(f"near{t}", F.lit(0)))).withColumn(f"hub{t}", F.coalesce(f"hub{t}", F.lit(-1)))
+        g = table(g, "hubs")
+    first = measured[-1]
     one = first.where("linked").select("a", "b")
     labels = table(components(one), "labels")
     label = lambda df: df.join(labels.select("id", F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -267,25 +298,27 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
 
     near = cross_pairs(label(rows), ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, lambda large, small: False)
 
-    # what is left by keys: sets that are not both known to resemble their hub
+    # what is left by keys: sets that are not both known to resemble one hub
     marked = label(g)
     split = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("key")
-    known = first.select(F.col("a").alias("hub"), F.col("b").alias("id"), "least", "most", F.col("diff").isNotNull().cast("int").alias("near"))
-    rows = marked.join(split, "key").select("key", "id", "size", "pos", "hub", "label").join(known, ["hub", "id"], "left")
-    at_hub = F.col("id") == F.col("hub")
-    rows = rows.withColumn("least", F.when(at_hub, F.col("size")).otherwise(F.coalesce("least", F.lit(0)))).withColumn("most", F.when(at_hub, F.col("size")).otherwise(F.coalesce("most", "size"))).withColumn("near", F.when(at_hub, 1).otherwise(F.coalesce("near", F.lit(0))))
+    rows = marked.join(split, "key")
+    by_round = [f"{c}{t}" for t in range(1, HUBS + 1) for c in ("hub", "least", "most", "near")]
 
     def undecided(x, y):
         n1, n2 = x["size"].astype(np.int64), y["size"].astype(np.int64)
         # a pair is looked at where its first shared key is: nothing before it counts
         room = np.minimum(n1 - x["pos"], n2 - y["pos"])
-        same = x["hub"] == y["hub"]
-        room = np.where(same, np.minimum(room, np.minimum(x["most"], y["most"]) + np.minimum(n1 - x["least"], n2 - y["least"])), room)
+        open_ = x["label"] != y["label"]
+        for t in range(1, HUBS + 1):
+            same = (x[f"hub{t}"] == y[f"hub{t}"]) & (x[f"hub{t}"] >= 0)
+            bound = np.minimum(x[f"most{t}"], y[f"most{t}"]) + np.minimum(n1 - x[f"least{t}"], n2 - y[f"least{t}"])
+            room = np.where(same, np.minimum(room, bound), room)
+            # settled by differences, or measured as a star
+            open_ = open_ & ~(same & ((x[f"near{t}"] == 1) & (y[f"near{t}"] == 1) | (x["id"] == y[f"hub{t}"]) | (y["id"] == x[f"hub{t}"])))
         # size 0: sizes are not known, and rule out nothing
-        fits = (n1 == 0) | (n2 == 0) | sized(n1, n2) & (up * room >= percent * (n1 + n2))
-        return (x["label"] != y["label"]) & fits & ~(same & (x["near"] == 1) & (y["near"] == 1)) & (x["id"] != y["hub"]) & (y["id"] != x["hub"])
+        return open_ & ((n1 == 0) | (n2 == 0) | sized(n1, n2) & (up * room >= percent * (n1 + n2)))
 
-    far = cross_pairs(rows, ["key", "id", "size", "pos", "hub", "label", "least", "most", "near"], undecided, lambda large, small: 100 * small < percent * large)
+    far = cross_pairs(rows, ["key", "id", "size", "pos", "label", *by_round], undecided, lambda large, small: 100 * small < percent * large)
     two = measure(near.union(far).distinct(), False).where("linked").select("a", "b")
     links = table(one.union(two).distinct(), "links")
     return links, table(components(links), "labels")

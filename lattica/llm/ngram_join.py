@@ -41,9 +41,9 @@ from .common import near_ids, over_batches, prepare, table, texts_as_bytes
 
 N_GRAM, PERCENT = 4, 85
 #: Counters of the sketch that finds frequent shingles, and their share of the documents.
-SKETCH, FREQUENT = 1 << 18, 0.0006
+SKETCH, FREQUENT = 1 << 19, 0.0002
 _SLICES = 64
-_SIGNATURE = 64
+_SIGNATURE = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SETS = "rid long, doc_id {id}, h long, n long, digest binary, signature binary, keys binary"
 
@@ -76,7 +76,7 @@ def exact_set(text: bytes, n: int) -> set:
 
 
 def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 18)).astype(np.int64)
+    return (h >> np.uint64(64 - 19)).astype(np.int64)
 
 
 def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
@@ -91,7 +91,7 @@ def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
             rows += batch.num_rows
         if rows:
             parts = counts.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "rows": pa.array([rows] * _SLICES, pa.int64()), "counts": pa.array([p.astype(np.int64).tobytes() for p in parts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "rows": pa.array([rows] * _SLICES, pa.int64()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH // _SLICES, np.int64)
@@ -121,7 +121,7 @@ def sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFra
                 continue
             digest.append(xxhash.xxh3_128_digest(s.tobytes()))
             parts = np.bincount((s & np.uint64(_SIGNATURE - 1)).astype(np.int64), minlength=_SIGNATURE)
-            signature.append(parts.astype(np.uint16).tobytes() if parts.max() < 1 << 16 else None)
+            signature.append(parts.astype(np.uint8).tobytes() if parts.max() < 256 else None)
             often = frequent[slot(s)]
             first = len(s) - -(-percent * len(s) // 100) + 1
             keys.append(np.concatenate([s[~often][:first], s[often][: max(0, first - int((~often).sum()))]]).tobytes())
@@ -144,6 +144,15 @@ def postings(of: DataFrame) -> DataFrame:
     return over_batches(of.select("rid", "n", "keys"), run, linking.POSTING)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """rid, text of the rows (rid, doc_id, h) in ids; of repeated rows one."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = near_ids(docs.select("doc_id", "text"), ids).withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("doc_id", "h"))
+    # texts move once: what is dealt by k serves the distinct and the join
+    near = near.repartition(n, "k").dropDuplicates(["k", "doc_id", "h"]).alias("d")
+    return near.join(ids.withColumn("k", F.xxhash64("doc_id", "h")).repartition(n, "k").alias("i"), F.expr("d.k = i.k and d.doc_id <=> i.doc_id and d.h = i.h")).select("i.rid", "d.text")
+
+
 def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, h, n, component_id and lead (the rid of the component's row that has that id) for every row."""
     prepare(docs.sparkSession)
@@ -154,13 +163,14 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
     where_ = w.select("rid", "doc_id", "h")
 
     def bounded(batch: pa.RecordBatch, bar: int) -> pa.RecordBatch:
-        """What signatures leave of the pairs: those that may have a similarity of bar percent."""
+        """The pairs with a bound of their overlap by signatures, and whether it leaves a similarity of bar percent open."""
         a, b, na, nb, sa, sb = (batch.column(i) for i in range(6))
-        ok = []
+        bound, ok = [], []
         for x, y, s, t in zip(na.to_pylist(), nb.to_pylist(), sa.to_pylist(), sb.to_pylist(), strict=True):
-            most = min(x, y) if s is None or t is None else int(np.minimum(np.frombuffer(s, np.uint16), np.frombuffer(t, np.uint16)).sum())
+            most = min(x, y) if s is None or t is None else int(np.minimum(np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8)).sum(dtype=np.int64))
+            bound.append(most)
             ok.append((100 + bar) * most >= bar * (x + y))
-        return pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        return pa.RecordBatch.from_arrays([a, b, na, nb, pa.array(bound, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "na", "nb", "most", "open"])
 
     def code(shingle: tuple[bytes, ...]) -> int:
         return xxhash.xxh3_64_intdigest(b" ".join(shingle))
@@ -181,15 +191,17 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
 
         side = lambda c, k: sized.select(F.col("rid").alias(c), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}"))
         open_ = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "s1", "s2")
-        # a difference needs a similarity of a half
-        open_ = table(over_batches(open_, lambda batch: bounded(batch, 50 if diffs else percent), "a long, b long"), "pairs")
+        judged = table(over_batches(open_, lambda batch: bounded(batch, linking.NEAR if diffs else percent), "a long, b long, na long, nb long, most long, open boolean"), "pairs")
+        open_ = judged.where("open").select("a", "b")
         ids = open_.select(F.col("a").alias("rid")).union(open_.select("b")).distinct().join(where_, "rid")
         ids = table(ids, "ids")
-        near = near_ids(docs.select("doc_id", "text"), ids).withColumn("h", F.xxhash64("text")).alias("d")
-        texts = near.join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id and d.h = i.h")).select("i.rid", "d.text")
-        texts = table(texts.dropDuplicates(["rid"]), "texts")
+        texts = table(texts_of(docs, ids), "texts")
         both = open_.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(overlap, linking.MEASURED)
+        out = both.select("a", "b", "x", "y").mapInArrow(overlap, linking.MEASURED)
+        if not diffs:
+            return out
+        closed = judged.where("not open").select("a", "b", "na", "nb", F.lit(0).cast("long").alias("least"), "most", F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))
+        return out.unionByName(closed)
 
     reps = w.join(classes.select("rid"), "rid", "left_semi")
     _, labels = linking.link(postings(reps), measure, percent)
