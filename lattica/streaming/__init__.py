@@ -1,0 +1 @@
+"""Axioms that arrive over time."""
