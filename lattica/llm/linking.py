@@ -268,7 +268,11 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
             g = g.drop("hub_size").join(least, "key", "left")
             g = g.withColumn(f"hub{t}", F.when(F.expr(" and ".join(f"near{k} = 0" for k in range(1, t))), F.col(f"hub{t}")))
         stars = g.where(f"id <> hub{t}").select(F.col(f"hub{t}").alias("a"), F.col("id").alias("b"), "size", "hub_size").mapInArrow(sizes_fit, "a long, b long").distinct()
-        if t > 1:
+        if t == 1:
+            # a key of two sets has no pair besides its star
+            many = g.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 2").select("key")
+            g = g.join(many, "key", "left_semi")
+        else:
             stars = stars.join(measured[-1].select("a", "b"), ["a", "b"], "left_anti")
         new = table(measure(stars, True), "measured")
         measured.append(new if t == 1 else union_of(measured[-1], new))
