@@ -36,7 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import over_batches, prepare
+from .common import over_batches, prepare, worker_caches
 
 #: Entries of a worker's table of encoded pieces; it is emptied when full.
 MEMO_ENTRIES = 400_000
@@ -235,6 +235,9 @@ def load(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+worker_caches["bpe"] = load.cache_clear
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -263,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return over_batches(docs.select("doc_id", "text"), run, schema)
+    return over_batches(docs.select("doc_id", "text"), run, schema, keep="bpe")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

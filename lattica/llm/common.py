@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in an Arrow batch, as texts may be long: bounds a Python worker's memory.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 _shipped: set[str] = set()
 _of_stage: list[DataFrame] | None = None
@@ -95,10 +95,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 
 
-def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+#: What a Python worker keeps between tasks, by operator, and how to let go of it.
+worker_caches: dict[str, Callable[[], None]] = {}
+
+
+def free_caches(keep: str | None = None) -> None:
+    """At a task's start: workers are used again, and should not hold what another operator kept in them."""
+    for name, clear in worker_caches.items():
+        if name != keep:
+            clear()
+
+
+def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, keep: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; keep names the worker cache that it uses."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches(keep)
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out

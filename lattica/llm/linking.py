@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, over_batches, table
+from .common import forget, free_caches, over_batches, table
 
 #: key; set id; its size and the key's position in it; hub; whether the set alone of its batch stands for a key that has more
 POSTING = "key long, id long, size int, pos int, hub long, hub_size int, hub_pos int, more boolean"
 _NAMES = [x.split()[0] for x in POSTING.split(", ")]
 #: Sets of a key that are compared with each other at a time; hubs that a key's sets are compared with.
-BLOCK, HUBS = 1024, 2
+BLOCK, HUBS = 512, 2
 #: Similarity in percent from which a set is described by its difference from a hub.
 NEAR = 70
 
@@ -55,6 +55,7 @@ def groups(postings: DataFrame) -> DataFrame:
     dealt = postings.repartition(n, "key", F.when(F.col("id") != F.col("hub"), F.col("id"))).sortWithinPartitions("key", "id")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         hub = None  # (key, id, size, pos) of the run's first row; `waiting`: not yet given out
         waiting: pa.RecordBatch | None = None
         for batch in batches:
@@ -142,6 +143,7 @@ def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Cal
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:

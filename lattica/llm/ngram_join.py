@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import near_ids, over_batches, prepare, table, texts_as_bytes
+from .common import free_caches, near_ids, over_batches, prepare, table, texts_as_bytes
 
 N_GRAM, PERCENT = 4, 85
 #: Counters of the sketch that finds frequent shingles, and their share of the documents.
@@ -83,6 +83,7 @@ def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
     """Which counters of the sketch hold a shingle that more than FREQUENT of the documents have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         counts, rows = np.zeros(SKETCH, np.int64), 0
         for batch in batches:
             found = [shingles(text, n) for text in texts_as_bytes(batch.column(0))]
@@ -177,6 +178,7 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
 
     def measure(pairs: DataFrame, diffs: bool) -> DataFrame:
         def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free_caches()
             last, mine = None, set()
             for batch in batches:
                 out = []
