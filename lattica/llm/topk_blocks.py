@@ -136,7 +136,7 @@ def search(q: np.ndarray, q_rid: np.ndarray, d: np.ndarray, d_rid: np.ndarray, d
                 width = int(keep.sum(axis=1).max())
                 pick = np.argsort(~keep, axis=1, kind="stable")[:, : max(k, width)]
                 all_s, all_i, all_f = (np.take_along_axis(x, pick, axis=1) for x in (all_s, all_i, all_f & keep))
-            o = np.lexsort((all_i, -np.where(all_f, all_s, -_BIG), ~all_f), axis=1)[:, :k]
+            o = np.lexsort((all_i, ~all_s, ~all_f), axis=1)[:, :k]  # ~ turns the order without overflow
             best[rows], ids[rows], found[rows] = (np.take_along_axis(x, o, axis=1) for x in (all_s, all_i, all_f))
             best[rows] = np.where(found[rows], best[rows], -_BIG - 1)
     r, c = np.nonzero(found)
