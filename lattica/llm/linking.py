@@ -29,8 +29,9 @@ from .common import forget, free_caches, over_batches, table
 #: key; set id; its size and the key's position in it; hub; whether the set alone of its batch stands for a key that has more
 POSTING = "key long, id long, size int, pos int, hub long, hub_size int, hub_pos int, more boolean"
 _NAMES = [x.split()[0] for x in POSTING.split(", ")]
-#: Sets of a key that are compared with each other at a time; hubs that a key's sets are compared with.
-BLOCK, HUBS = 512, 2
+#: Sets of a key that are compared with each other at a time; hubs that a key's sets are compared with, one after
+#: another (more than one saves pairs only where keys join several large groups).
+BLOCK, HUBS = 512, 1
 #: Similarity in percent from which a set is described by its difference from a hub.
 NEAR = 70
 
@@ -166,10 +167,10 @@ def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Cal
     return dealt.mapInArrow(each, "a long, b long").distinct()
 
 
-def difference(hub: set, other: set, code: Callable[[object], int]) -> bytes | None:
+def difference(hub: set, other: set, code: Callable[[object], int], near: int = NEAR) -> bytes | None:
     """How a set differs from a hub that it has much in common with: count of additions, additions, removals, as 64-bit codes."""
     inter = len(hub & other)
-    if 100 * inter < NEAR * (len(hub) + len(other) - inter):
+    if 100 * inter < near * (len(hub) + len(other) - inter):
         return None
     more, less = (sorted(code(x) for x in s) for s in (other - hub, hub - other))
     return np.array([len(more), *more, *less], np.uint64).tobytes()
