@@ -153,7 +153,8 @@ Part = tuple[list[int], str, str]
 class Tokenizer:
     """A tokenizer file: normalise, pre-split, encode words; decode ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES) -> None:
+        self.memo_entries = memo_entries
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -180,9 +181,9 @@ class Tokenizer:
             ids = self.automaton.encode(symbols)
             part = ids, " ".join(map(str, ids)), self.decode(ids)
             if len(word) <= _MEMO_CHARS:
-                if len(self.words) >= MEMO_ENTRIES:
+                if len(self.words) >= self.memo_entries:
                     self.words.clear()
-                    if len(self.automaton.final) > 4 * MEMO_ENTRIES:
+                    if len(self.automaton.final) > 4 * self.memo_entries:
                         self.automaton.final.clear()
                         self.automaton.table.clear()
                 self.words[word] = part
@@ -219,7 +220,7 @@ class Tokenizer:
             if part is None:
                 part = self.chunk(c)
                 if len(c) <= _MEMO_CHARS:
-                    if len(known) >= MEMO_ENTRIES:
+                    if len(known) >= self.memo_entries:
                         known.clear()
                     known[c] = part
             if part[0]:
@@ -230,9 +231,9 @@ class Tokenizer:
         return [i for p in self.parts(text) for i in p[0]]
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Tokenizer:
-    return Tokenizer(path)
+@lru_cache(maxsize=1)
+def load(path: str, memo_entries: int = MEMO_ENTRIES) -> Tokenizer:
+    return Tokenizer(path, memo_entries)
 
 
 worker_caches["bpe"] = load.cache_clear
@@ -244,15 +245,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids.
 
-    path is a tokenizer file on every executor (None: the installed one).
+    path is a tokenizer file on every executor (None: the installed one);
+    memo_entries bounds what a worker keeps.
     """
     prepare(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer = load(path or default_path())
+        tokenizer = load(path or default_path(), memo_entries)
         n, ids_hash, text_hash, ids = [], [], [], []
         for text in batch.column(1).to_pylist():
             parts = tokenizer.parts(text or "")
