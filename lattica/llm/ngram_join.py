@@ -205,7 +205,11 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
         closed = judged.where("not open").select("a", "b", "na", "nb", F.lit(0).cast("long").alias("least"), "most", F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))
         return out.unionByName(closed)
 
-    reps = w.join(classes.select("rid"), "rid", "left_semi")
+    # copies are known by key only among rows that share a slot with one: index lists do not move for it
+    again = classes.where("copies > 1").select("digest", F.col("rid").alias("first"))
+    copies = table(w.where("n > 0").select("rid", "digest").join(again, "digest").where("rid <> first").select("rid"), "copies")
+    listed = w.where("n > 0").select("rid", "n", "keys")
+    reps = near_ids(listed, copies, inside=False, on="rid").unionByName(near_ids(listed, copies, on="rid").join(copies, "rid", "left_anti"))
     _, labels = linking.link(postings(reps), measure, percent)
     # classes that are alone and have no copies keep their own id: only the others are joined to the rows
     marked = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").where("root is not null or copies > 1").select("digest", "least", F.coalesce("root", "rid").alias("root"))
