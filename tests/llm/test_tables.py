@@ -110,6 +110,12 @@ def test_lines_awkward(awkward, empty):
     assert line_dedup.decisions(empty).count() == 0 and line_dedup.dedup_documents(empty).count() == 0
 
 
+def test_repeated_rows_without_repeated_lines_stay(spark):
+    rows = [(1, sentence(3, 30) + "\n" + sentence(8, 30)), (2, sentence(5, 30))]
+    docs = spark.createDataFrame([rows[0], rows[1], rows[0], rows[0], (3, rows[1][1])], "doc_id long, text string")
+    assert sorted(tuple(r) for r in line_dedup.dedup_documents(docs).collect()) == sorted([rows[0]] * 3 + [rows[1]])
+
+
 def test_long_lines_are_whole(monkeypatch):
     lines = ["".join(chr(97 + (i * i) % 23) for i in range(900)), "short", "x"]
     whole = line_dedup.band_keys(lines)
