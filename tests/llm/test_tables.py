@@ -110,6 +110,16 @@ def test_lines_awkward(awkward, empty):
     assert line_dedup.decisions(empty).count() == 0 and line_dedup.dedup_documents(empty).count() == 0
 
 
+def test_short_lines_with_one_changed_character(spark):
+    """Lines of 45 to 78 characters, one in the middle changed: nearly all are linked."""
+    rnd = random.Random(4)
+    lines = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randint(45, 78))).strip(" ").ljust(45, "e") for _ in range(200)]
+    edited = [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in lines]
+    docs = spark.createDataFrame(list(enumerate(lines + edited)), "doc_id long, text string")
+    dropped = [r.doc_id for r in line_dedup.decisions(docs).collect() if r.dropped]
+    assert min(dropped) >= 200 and len(dropped) >= 190
+
+
 def test_repeated_rows_without_repeated_lines_stay(spark):
     rows = [(1, sentence(3, 30) + "\n" + sentence(8, 30)), (2, sentence(5, 30))]
     docs = spark.createDataFrame([rows[0], rows[1], rows[0], rows[0], (3, rows[1][1])], "doc_id long, text string")
