@@ -4,8 +4,11 @@ Each source's rows are cut into blocks. With weight w, block j of a source may
 run from floor(j / w) on and must have run by ceil((j + 1) / w); one block runs
 at a time, of those released the one with the earliest deadline. Then at every
 time each source has had its share of all blocks so far, less or more than one
-block. Weights are fractions of `period`, so a schedule repeats after `period`
-blocks, and what is computed on the driver is bounded by sources x period.
+block. Weights are exact: the decimal fractions that they are written as, made
+integers with the same proportions. Their sum is the period after which a
+schedule repeats. The driver computes one period of a phase, or the phase where
+that is shorter (square roots have long periods): a step for each block at most,
+none for each row. Executors get the times as a table, joined by block.
 
 A source that ends leaves its share to the others: a phase ends with the block
 that exhausts a source, and the next one starts with the remaining sources and
@@ -25,55 +28,74 @@ empty table gives an empty result. Columns of any other names are carried along.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import json
+import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, PERIOD = 64, 720
+BLOCK_ROWS = 64
 #: Rows of a bucket within which rows are numbered by sorting, about.
 BUCKET_ROWS = 4096
 #: Sources are listed on the driver: more of them is an error.
 MOST_SOURCES = 1024
 
 
-def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Integers of at least 1 with the sum period, close to the weights' proportions (largest remainder)."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    shares = [1 + int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(shares)]:
-        shares[i] += 1
-    return shares
+def exact_shares(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportions of the weights as they are written, without a common divisor."""
+    exact = [Fraction(str(w)) for w in weights]
+    over = math.lcm(*(w.denominator for w in exact))
+    shares = [int(w * over) for w in exact]
+    common = math.gcd(*shares)
+    return [a // common for a in shares]
 
 
-def one_period(shares: list[int], period: int) -> list[list[int]]:
-    """For each source the times of its blocks within a period, by earliest deadline first."""
-    times: list[list[int]] = [[] for _ in shares]
+def one_period(shares: list[int], left: list[int]) -> tuple[list[list[int]], bool]:
+    """For each source the times of its blocks by earliest deadline first, and whether a source ended.
+
+    It stops with the block that exhausts a source, or else after a period, the sum of the shares.
+    """
+    period, times = sum(shares), [[] for _ in shares]
+    ready: list[tuple[int, int]] = []
+    waiting = [(0, i) for i in range(len(shares))]
     for now in range(period):
-        ready = [(-(-(len(t) + 1) * period // a), i) for i, (t, a) in enumerate(zip(times, shares, strict=True)) if len(t) * period // a <= now]
-        deadline, i = min(ready)
+        while waiting and waiting[0][0] <= now:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(times[i]) + 1) * period // shares[i]), i))
+        deadline, i = heapq.heappop(ready)
         if deadline <= now:
             raise AssertionError("a deadline was missed")
         times[i].append(now)
-    return times
+        k = len(times[i])
+        if k == left[i]:
+            return times, True
+        if k < shares[i]:
+            heapq.heappush(waiting, (k * period // shares[i], i))
+    return times, False
+
 
+def schedule(blocks: list[int], weights: list[float], period: int | None = None) -> list[list[dict]]:
+    """For each source its phases: number of its first block, start time, share and times within a period.
 
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[list[dict]]:
-    """For each source its phases: number of its first block, start time, share and times within a period."""
+    The period follows from the weights; the argument is taken for older callers and has no effect.
+    """
     left, out, start, number = dict(enumerate(blocks)), [[] for _ in blocks], 0, 0
     taken = [0] * len(blocks)
     left = {i: n for i, n in left.items() if n}
     while left:
         active = sorted(left)
-        size = max(period, len(active))
-        shares = whole_shares([weights[i] for i in active], size)
-        times = one_period(shares, size)
+        shares = exact_shares([weights[i] for i in active])
+        size = sum(shares)
+        times, ended = one_period(shares, [left[i] for i in active])
         # the first source whose last block has run ends the phase
-        length = min((left[i] - 1) // a * size + t[(left[i] - 1) % a] for i, a, t in zip(active, shares, times, strict=True)) + 1
+        length = sum(map(len, times)) if ended else min((left[i] - 1) // a * size + t[(left[i] - 1) % a] for i, a, t in zip(active, shares, times, strict=True)) + 1
         for i, a, t in zip(active, shares, times, strict=True):
             out[i].append({"phase": number, "first": taken[i], "start": start, "period": size, "share": a, "times": t})
-            done = length // size * a + sum(x < length % size for x in t)
+            done = length // size * a + bisect.bisect_left(t, length % size)
             taken[i] += done
             left[i] -= done
         left = {i: n for i, n in left.items() if n > 0}
@@ -82,7 +104,8 @@ def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> l
 
 
 _PHASES = "sid int, source string, none boolean, phases array<struct<phase:int, first:bigint, start:bigint, period:bigint, share:bigint>>"
-_TIMES = "sid int, phase int, k bigint, at bigint"
+#: Shares and periods beyond this are of phases that end within the first period.
+_LONG = 1 << 62
 
 
 def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -91,6 +114,19 @@ def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
 
 
+def _times(spark: SparkSession, phases: list[list[dict]]) -> DataFrame:
+    """The times of all phases, with releases and deadlines, as a table of the driver's."""
+    cols: list[list[int]] = [[] for _ in range(6)]
+    for i, ps in enumerate(phases):
+        for p in ps:
+            n, size, a = len(p["times"]), p["period"], p["share"]
+            values = ([i] * n, [p["phase"]] * n, range(n), p["times"], (k * size // a for k in range(n)), (-(-(k + 1) * size // a) for k in range(n)))
+            for c, v in zip(cols, values, strict=True):
+                c.extend(v)
+    names = ["__sid4", "__phase4", "__k4", "__at", "__from", "__until"]
+    return spark.createDataFrame(pa.table({name: pa.array([min(v, _LONG) for v in c], pa.int64()) for name, c in zip(names, cols, strict=True)}))
+
+
 def _split(schema: str) -> list[str]:
     """Top-level fields of a schema string."""
     out, depth = [""], 0
@@ -107,7 +143,7 @@ def _order() -> list[Column]:
     return [F.xxhash64(F.lit("mix"), "doc_id", "text"), F.col("doc_id"), F.xxhash64("text")]
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """docs with __phase, __block, __offset, __release, __deadline, __slot and __position.
 
     weights by source; None: by the square root of the sources' numbers of rows.
@@ -129,26 +165,28 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
         if not weights or min(weights.values()) <= 0:
             raise ValueError("weights must be positive")
         given = [weights.get(s, min(weights.values())) for s in names]
-    phases = schedule([-(-r[1] // block_rows) for r in sizes], given, period)
-    # the plan as small tables: the phases of each source, and the times of each phase's period
-    short = [{"sid": i, "source": s or "", "none": s is None, "phases": [{k: v for k, v in p.items() if k != "times"} for p in ps]} for i, (s, ps) in enumerate(zip(names, phases, strict=True))]
-    times = [{"sid": i, "phase": p["phase"], "k": k, "at": at} for i, ps in enumerate(phases) for p in ps for k, at in enumerate(p["times"])]
+    phases = schedule([-(-r[1] // block_rows) for r in sizes], given)
+    # the plan as tables: the phases of each source, and the times, releases and deadlines of each phase's period
+    short = [{"sid": i, "source": s or "", "none": s is None, "phases": [{k: min(v, _LONG) for k, v in p.items() if k != "times"} for p in ps]} for i, (s, ps) in enumerate(zip(names, phases, strict=True))]
     of_source = _small(spark, short, _PHASES).select(F.when(~F.col("none"), F.col("source")).alias("__s3"), F.col("sid").alias("__sid"), F.col("phases").alias("__phases"))
-    at = _small(spark, times, _TIMES).select(F.col("sid").alias("__sid4"), F.col("phase").alias("__phase4"), F.col("k").alias("__k4"), F.col("at").alias("__at"))
+    at = _times(spark, phases)
 
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__s", "__b", before.alias("__before"))
+    starts = counts.select("__s", "__b", "__n", before.alias("__before"))
+    # small tables as yet, a row for each bucket's blocks: texts then meet their slots by bucket
+    plan = starts.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__before") / block_rows), F.floor((F.col("__before") + F.col("__n") - 1) / block_rows))))
+    # this broadcast is bounded by MOST_SOURCES, whatever the rows
+    plan = plan.join(F.broadcast(of_source), F.col("__s").eqNullSafe(F.col("__s3")))
+    plan = plan.withColumn("__p", F.expr("element_at(filter(__phases, p -> p.first <= __block), -1)")).withColumn("__step", F.expr("__block - __p.first")).withColumn("__k", F.expr("__step % __p.share")).drop("__phases")
+    plan = plan.join(at, F.expr("__sid = __sid4 and __p.phase = __phase4 and __k = __k4")).withColumn("__base", F.expr("__p.start + (__step div __p.share) * __p.period"))
+    entry = F.struct("__block", F.col("__p.phase").alias("__phase"), *((F.col("__base") + F.col(c)).alias(name) for c, name in (("__from", "__release"), ("__until", "__deadline"), ("__at", "__slot"))))
+    plan = plan.groupBy("__s", "__b", "__before").agg(F.array_sort(F.collect_list(entry)).alias("__plan"))
     within = F.row_number().over(Window.partitionBy("source", "__bucket").orderBy(*_order())) - 1
-    rows = keyed.withColumn("__within", within).alias("r").join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    rows = keyed.withColumn("__within", within).alias("r").join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     number = F.col("__before") + F.col("__within")
     rows = rows.withColumn("__block", F.floor(number / block_rows)).withColumn("__offset", number % block_rows)
-    # both broadcast sides are bounded by MOST_SOURCES and the period, whatever the rows
-    rows = rows.join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("__s3")))
-    rows = rows.withColumn("__p", F.expr("element_at(filter(__phases, p -> p.first <= __block), -1)")).withColumn("__step", F.expr("__block - __p.first")).withColumn("__k", F.expr("__step % __p.share"))
-    rows = rows.join(F.broadcast(at), F.expr("__sid = __sid4 and __p.phase = __phase4 and __k = __k4"))
-    rows = rows.withColumn("__phase", F.col("__p.phase"))
-    rows = rows.withColumn("__slot", F.expr("__p.start + (__step div __p.share) * __p.period + __at"))
-    rows = rows.withColumn("__release", F.expr("__p.start + (__step * __p.period) div __p.share")).withColumn("__deadline", F.expr("__p.start + ((__step + 1) * __p.period + __p.share - 1) div __p.share"))
+    rows = rows.withColumn("__e", F.get("__plan", (F.col("__block") - F.floor(F.col("__before") / block_rows)).cast("int")))
+    rows = rows.select("*", *(F.col(f"__e.{c}").alias(c) for c in ("__phase", "__release", "__deadline", "__slot")))
     rows = rows.withColumn("__position", F.col("__slot") * block_rows + F.col("__offset"))
     return rows.select(*(F.col(f"r.`{c}`") for c in docs.columns), "__phase", "__block", "__offset", "__release", "__deadline", "__slot", "__position")
 

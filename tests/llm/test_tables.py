@@ -3,6 +3,7 @@
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -198,6 +199,26 @@ def test_pfair(spark, awkward, empty):
         pfair_mix.mix(awkward, {"s1": 0})
 
 
+def test_pfair_keeps_the_given_weights(spark, small):
+    """Less than one block from the weights themselves, not from a rounding of them, up to the first source's end."""
+    cases = [([0.9, 0.1], [9000, 1500]), ([5.0**0.5] + [1.0] * 19, [3000] + [900] * 19), ([0.0001, 1.0, 0.37], [90, 40000, 9000])]
+    for weights, blocks in cases:
+        exact, order = [Fraction(str(w)) for w in weights], {}
+        for s, phases in enumerate(pfair_mix.schedule(blocks, weights)):
+            p = phases[0]
+            for j in range(phases[1]["first"] if len(phases) > 1 else blocks[s]):
+                order[p["start"] + j // p["share"] * p["period"] + p["times"][j % p["share"]]] = s
+        done = [0] * len(weights)
+        assert sorted(order) == list(range(len(order))) and len(order) > 9000
+        for t in range(len(order)):
+            done[order[t]] += 1
+            if t % 97 == 0 or t + 1 == len(order):
+                assert all(abs(d - w / sum(exact) * (t + 1)) < 1 for d, w in zip(done, exact, strict=True))
+    out = pfair_mix.mix(small, {r[0]: 0.1 + k * 0.37 for k, r in enumerate(sorted(small.select("source").distinct().collect()))}, block_rows=1).collect()
+    assert sorted(r["__slot"] for r in out) == list(range(small.count()))
+    assert all(r["__release"] <= r["__slot"] < r["__deadline"] for r in out)
+
+
 def test_mixed_order_is_the_files_order(spark, small, tmp_path):
     pfair_mix.mixed_documents(small, partition_rows=32).write.parquet(str(tmp_path / "out"))
     want = [r.doc_id for r in pfair_mix.mix(small).orderBy("__position").collect()]
