@@ -39,6 +39,17 @@ def test_rules_order_changes_nothing(small):
     assert sorted(rule_cascade.rule_order(small)) == sorted(names)
 
 
+def test_rules_keep_other_scripts(spark):
+    """One Latin acronym in a text without Latin letters is no shouting; capitals of any script are."""
+    russian = "Учёные сообщили что новая вакцина против COVID прошла первые испытания и вскоре поступит в больницы"
+    arabic = "أعلن العلماء أن اللقاح الجديد ضد COVID اجتاز التجارب الأولى وسيصل قريبا إلى المستشفيات"
+    english = "scientists said that the new vaccine against COVID has passed its first trials and will soon come"
+    rows = list(enumerate([russian, arabic, english, russian.upper(), english.upper(), "été " * 3 + english.upper()]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ids(rule_cascade.filter_documents(docs)) == [(False, 0), (False, 1), (False, 2)]
+    assert [r.rejected_by for r in rule_cascade.judge(docs).orderBy("doc_id").collect()] == [None] * 3 + ["shouting"] * 3
+
+
 @pytest.mark.parametrize(("words", "width", "want"), [("a b", 5, 0), ("a a a a a a", 5, 6), ("a b c d e x a b c d e", 5, 10), ("a b c d e f", 5, 0), ("a b a b a", 2, 5)])
 def test_repeated_windows(words, width, want):
     assert rule_cascade.repeated_window_words([w.encode() for w in words.split()], width) == want
