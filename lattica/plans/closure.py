@@ -10,7 +10,9 @@ round. The loop ends when a round finds nothing.
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +68,15 @@ class _Parts:
         return read_all(self.spark, self.like, [f"{self.path}/{i}" for i in range(self.count)])
 
 
-def classify(tables: dict[str, DataFrame], max_rounds: int = 1000, preclose_roles: bool = True, r: DataFrame | None = None) -> Closure:
-    """S and R of an ontology: s (seed) and t1 .. t6; r, if there are pairs to begin with."""
+def _stopped(max_rounds: int | None) -> None:
+    warnings.warn(f"stopped after max_rounds={max_rounds} with new facts in the last round: S and R may be incomplete", RuntimeWarning, stacklevel=3)
+
+
+def classify(tables: dict[str, DataFrame], max_rounds: int | None = None, preclose_roles: bool = True, r: DataFrame | None = None) -> Closure:
+    """S and R of an ontology: s (seed) and t1 .. t6; r, if there are pairs to begin with.
+
+    It goes on until a round finds nothing; a bound that is given ends it earlier, with a warning.
+    """
     spark = tables["s"].sparkSession
     t1, t2, t3, t4, t6 = (tables[k] for k in ("t1", "t2", "t3", "t4", "t6"))
     t5 = close_roles(tables["t5"]) if preclose_roles else tables["t5"]
@@ -79,7 +88,7 @@ def classify(tables: dict[str, DataFrame], max_rounds: int = 1000, preclose_role
     s, p = _Parts(tables["s"], "s"), _Parts(union_all(begin, rules.rule5(begin, t5)) if preclose_roles else begin, "r")
     out = Closure(s.all, p.all)
     has = {k: not tables[k].isEmpty() for k in ("t2", "t4", "t5", "t6")}
-    for number in range(1, max_rounds + 1):
+    for number in range(1, max_rounds + 1) if max_rounds is not None else count(1):
         began = time.perf_counter()
         ds, dr, all_s, all_r = useful(s.new), p.new, useful(s.all), p.all
         found_s = [rules.rule1(ds, t1)]
@@ -99,18 +108,20 @@ def classify(tables: dict[str, DataFrame], max_rounds: int = 1000, preclose_role
         out.rounds.append((number, *counts, time.perf_counter() - began))
         if not any(counts):
             break
+    else:
+        _stopped(max_rounds)
     out.s, out.r = s.all, p.all
     return out
 
 
-def classify_naive(tables: dict[str, DataFrame], max_rounds: int = 1000) -> Closure:
+def classify_naive(tables: dict[str, DataFrame], max_rounds: int | None = None) -> Closure:
     """The same by full evaluation of every rule in each round, until the counts stay: what tests compare with."""
     spark = tables["s"].sparkSession
     path = shared_path(spark, "naive")
     s, r = written(tables["s"].dropDuplicates(), f"{path}/s0"), empty(spark, "r")
     out = Closure(s, r)
     before = (s.count(), 0)
-    for number in range(1, max_rounds + 1):
+    for number in range(1, max_rounds + 1) if max_rounds is not None else count(1):
         began = time.perf_counter()
         s1 = union_distinct(s, rules.rule1(s, tables["t1"]))
         s2 = union_distinct(s1, rules.rule2(s1, s1, tables["t2"]))
@@ -127,11 +138,13 @@ def classify_naive(tables: dict[str, DataFrame], max_rounds: int = 1000) -> Clos
         if now == before:
             break
         before = now
+    else:
+        _stopped(max_rounds)
     out.s, out.r = s, r
     return out
 
 
-def subclass_closure(s: DataFrame, t1: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def subclass_closure(s: DataFrame, t1: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Rule 1 alone, to the end."""
     spark = s.sparkSession
     names = ("t2", "t3", "t4", "t5", "t6")

@@ -1,5 +1,6 @@
 """Rules and fixpoint on the micro ontology, on edge rows and on random ontologies."""
 
+import inspect
 import random
 
 import pytest
@@ -136,3 +137,11 @@ def test_plan_does_not_grow(spark, monkeypatch):
     assert len(rows(found.s)) == n * (n + 1) // 2
     of_s = sizes[0::2]
     assert max(of_s[2:]) <= of_s[1] + 2
+
+
+def test_bound_of_rounds_is_not_silent(spark):
+    """Without a bound a chain is followed to its end; a bound that cuts it says so."""
+    chain = tables(spark, s=[(2, 2)], t1=[(k, k + 1) for k in range(2, 7)])
+    with pytest.warns(RuntimeWarning, match="max_rounds=2"):
+        assert classify(chain, max_rounds=2).s.count() < 6
+    assert inspect.signature(classify).parameters["max_rounds"].default is None
