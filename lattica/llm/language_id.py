@@ -4,7 +4,8 @@ A text becomes a vector of hashed letter n-grams (orders 1 to 3; whatever is
 not a letter ends a word). One linear machine for each language family, one
 against the rest, picks the family; within it a linear support vector machine
 for each pair of languages votes. Machines are trained on the driver on a
-bounded sample of labelled rows; all rows of the table are then scored where
+bounded sample of labelled rows (more languages than 400 are an error, none is
+left out); all rows of the table are then scored where
 they lie, without a shuffle, over their whole texts.
 
 Families come from a fixed table of language codes; a language that it lacks
@@ -44,6 +45,8 @@ FAMILIES = {
 DIMENSIONS = 2048
 #: Documented bound of the training sample, in rows.
 TRAIN_ROWS = 3200
+#: Rows that the sample has for each language on average at least: training fails with more than TRAIN_ROWS // LEAST_ROWS languages.
+LEAST_ROWS = 8
 _ORDERS = 3
 
 
@@ -158,9 +161,11 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the not held-out rows: a sample by hash with equal shares of the languages, train_rows at most."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.col("lang").alias("l")).filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(train_rows // 8).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(train_rows // LEAST_ROWS + 1).collect()}
     if not counts:
         return Model()
+    if len(counts) > train_rows // LEAST_ROWS:
+        raise ValueError(f"more than {train_rows // LEAST_ROWS} languages for {train_rows} training rows")
     share = train_rows / len(counts)
     chance = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, share / n)))))
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit("train"), "i"), F.lit(1_000_003)) < F.element_at(chance, F.col("l")) * 1_000_003).limit(train_rows)

@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import bpe_automaton, codepoints, language_id, license_scan, quality_mil, rule_cascade
 from tests.llm.conftest import SF
@@ -115,6 +116,13 @@ def test_languages(small, awkward, empty):
     assert {r.lang_pred for r in language_id.identify(small.limit(3), one).collect()} == {"fr"}
 
 
+def test_more_languages_than_rows_have_room_for(small):
+    many = small.withColumn("lang", F.concat(F.lit("x"), F.pmod("doc_id", F.lit(5)).cast("string")))
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language_id.train(many, train_rows=32)
+    assert len(language_id.train(many, train_rows=40).families) == 5
+
+
 def test_quality(spark, small, awkward, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality_mil.train(small, labels)
