@@ -10,7 +10,8 @@ are written out:
    done. In the others, pairs between components remain. If both sets resemble a
    common hub, their overlap follows from how each differs from it, so they are
    looked for in an index of these differences. For others, the known overlaps
-   with the hub and the key's positions rule out most; the rest is verified.
+   with the hub and the key's positions rule out most, whole blocks of a key's
+   sets at once; the rest is verified.
 
 Both steps together decide every pair that shares a key.
 """
@@ -32,6 +33,12 @@ _NAMES = [x.split()[0] for x in POSTING.split(", ")]
 #: Sets of a key that are compared with each other at a time; hubs that a key's sets are compared with, one after
 #: another (more than one saves pairs only where keys join several large groups).
 BLOCK, HUBS = 512, 1
+#: Sets of a key that one task compares with each other; a key of more is cut into parts of about that many.
+CELL = 4096
+#: Pairs of a hub that one task measures.
+HUB_PAIRS = 1024
+#: Counters of the sketch that finds frequent shingles, and the slices in which it moves.
+COUNTERS, _SLICES = 1 << 19, 64
 #: Similarity in percent from which a set is described by its difference from a hub.
 NEAR = 70
 
@@ -115,54 +122,132 @@ def union_of(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, apart: Callable) -> DataFrame:
+def counters(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, int]:
+    """A sketch of COUNTERS counters of 64-bit hashes, by their high bits, and the number of rows.
+
+    Each task sends its counters in slices; a slice is added up as it streams by, so
+    neither a task nor the driver ever holds more than the sketch.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
+        total, n = np.zeros(COUNTERS, np.int64), 0
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(slot(hashes(batch)), minlength=COUNTERS)
+                n += batch.num_rows
+        if n:
+            yield _slices(range(_SLICES), total.reshape(_SLICES, -1), n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, n = None, np.zeros(COUNTERS // _SLICES, np.int64), 0
+        for batch in batches:
+            for k, rows_, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if at is not None and k != at:
+                    yield _slices([at], total[None], n)
+                    total, n = np.zeros_like(total), 0
+                at, n = k, n + rows_
+                total += np.frombuffer(blob, np.int64)
+        if at is not None:
+            yield _slices([at], total[None], n)
+
+    kind = "slice int, rows long, counts binary"
+    got = rows.mapInArrow(count, kind).repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, kind).collect()  # COUNTERS counters
+    if not got:
+        return np.zeros(COUNTERS, np.int64), 0
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["slice"])]), got[0]["rows"]
+
+
+def _slices(numbers, counts: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([n] * len(counts), pa.int64()), pa.array([c.tobytes() for c in counts], pa.binary())], names=["slice", "rows", "counts"])
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def beside_hub(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text of b), dealt by a; before the pairs of each a stands one row with b null and the text of a.
+
+    pairs: a, b; texts: id, text. So a hub's text is moved and read once, or for a hub of
+    many pairs once for each HUB_PAIRS of them, in as many tasks.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    hubs = load.join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    rest = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    rest = rest.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    return hubs.unionByName(rest).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
+
+
+def one_label(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> bool:
+    """Whether two blocks hold sets of one label only."""
+    return x["label"].min() == x["label"].max() == y["label"].min() == y["label"].max()
+
+
+def cross_pairs(rows: DataFrame, columns: list[str], open_: Callable, closed: Callable, thin: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of ids of one key, a < b, for which open_(x, y) holds.
 
-    columns: key, id, size, label and what open_ looks at, all numbers; pairs of one
-    label are not open. Blocks of sets
-    by size are compared; apart(large, small) says that no pair of such sizes is
-    open, by which blocks are skipped.
+    columns: key, id, size, pos, label and what open_ looks at, all numbers; pairs of
+    one label are not open. A key's sets lie in blocks by size and position, and
+    closed(x, y), which sees two blocks whole, skips pairs of blocks. A key of more
+    than CELL sets is cut into parts, and each two parts meet in a cell of their own,
+    so a task holds two parts at a time. thin: of all pairs between two labels in a
+    pair of blocks one is enough.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*columns).repartition(n, "key").sortWithinPartitions("key", "size", "id")
+    many = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    many = many.select("key", F.ceil(F.col("sets") / CELL).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("part"), j).alias("i"), F.greatest(F.col("part"), j).alias("j")))
+    dealt = rows.select(*columns).join(many, "key").withColumn("part", part).select(*columns, "part", F.explode(cells).alias("c")).select(*columns, "part", F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+    dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = [*columns, "part", "i", "j"]
+
+    def blocks(run: dict[str, np.ndarray], part: int) -> list[dict[str, np.ndarray]]:
+        at = np.flatnonzero(run["part"] == part)
+        order = at[np.lexsort((run["id"][at], run["pos"][at], (8 * np.log(run["size"][at] + 1.0)).astype(np.int64)))]
+        return [{k: v[order[i : i + BLOCK]] for k, v in run.items()} for i in range(0, len(order), BLOCK)]
 
     def open_pairs(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        total = len(run["id"])
-        for i in range(0, total, BLOCK):
-            x = {k: v[i : i + BLOCK, None] for k, v in run.items()}
-            for j in range(i, total, BLOCK):
-                y = {k: v[None, j : j + BLOCK] for k, v in run.items()}
-                # sorted by size: what is too large here is so from here on
-                if j > i and apart(y["size"][0, 0], x["size"][-1, 0]):
-                    break
-                ok = open_(x, y)
-                if i == j:
-                    ok = ok & (np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])[None, :])
+        i, j = int(run["i"][0]), int(run["j"][0])
+        xs = blocks(run, i)
+        ys = xs if i == j else blocks(run, j)
+        for k, x in enumerate(xs):
+            for y in ys[k:] if i == j else ys:
+                if one_label(x, y) or closed(x, y):
+                    continue
+                ok = open_({c: v[:, None] for c, v in x.items()}, {c: v[None, :] for c, v in y.items()})
+                if x is y:
+                    ok = np.triu(ok, 1)
                 p, q = np.nonzero(ok)
                 if len(p):
-                    a, b = x["id"][p, 0], y["id"][0, q]
+                    a, b = x["id"][p], y["id"][q]
+                    if thin:
+                        first = np.unique(np.sort(np.stack([x["label"][p], y["label"][q]], axis=1), axis=1), axis=0, return_index=True)[1]
+                        a, b = a[first], b[first]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
-        held: list[dict[str, np.ndarray]] = []
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(columns)}
-            start = np.flatnonzero(np.r_[True, c["key"][1:] != c["key"][:-1]])
-            stop = np.r_[start[1:], batch.num_rows]
-            # keys within the batch whose sets all have one label have no open pair
+            c = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(names)}
+            if held is not None:
+                c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
+            new = np.zeros(len(c["key"]), bool)
+            for k in ("key", "i", "j"):
+                new[1:] |= c[k][1:] != c[k][:-1]
+            start = np.flatnonzero(np.r_[True, new[1:]])
+            # runs whose sets all have one label have no open pair
             mixed = np.minimum.reduceat(c["label"], start) != np.maximum.reduceat(c["label"], start)
-            mixed[0] = mixed[-1] = True
-            for i, j in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
-                part = {k: v[i:j] for k, v in c.items()}
-                if held and held[-1]["key"][0] != part["key"][0]:
-                    yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in columns})
-                    held = []
-                held.append(part)
-        if held:
-            yield from open_pairs({k: np.concatenate([h[k] for h in held]) for k in columns})
+            for k in np.flatnonzero(mixed[:-1]):
+                yield from open_pairs({name: v[start[k] : start[k + 1]] for name, v in c.items()})
+            held = {name: v[start[-1] :] for name, v in c.items()}
+        if held is not None:
+            yield from open_pairs(held)
 
     return dealt.mapInArrow(each, "a long, b long").distinct()
 
@@ -237,6 +322,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def apart(percent: int) -> Callable:
+    """Says of two blocks that sizes or positions leave no pair of theirs room for that similarity."""
+
+    def closed(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> bool:
+        (a, b), (c, d) = ((v["size"].min(), v["size"].max()) for v in (x, y))
+        if 100 * int(b) < percent * int(c) or 100 * int(d) < percent * int(a):
+            return True
+        room = min(int((v["size"] - v["pos"]).max()) for v in (x, y))
+        return (100 + percent) * room < percent * (int(a) + int(c))
+
+    return closed
+
+
 def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, labels) of all sets that share a key and have that Jaccard similarity.
 
@@ -244,7 +342,6 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
     most, linked, diff): set sizes, bounds of their overlap and the verdict; with
     diffs also difference(a's set, b's set) where there is one. It may leave out
     pairs that are not linked and, with diffs, have no difference.
-    Postings with size 0 say that sizes are not known.
     links: a, b. labels: id, root of every set that has a link.
     """
     up = 100 + percent
@@ -303,7 +400,11 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
         need = -(-percent * (x["n"] + y["n"]) // up) + x["hub_n"] - x["both"] - y["both"]
         return (x["label"] != y["label"]) & (np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need)
 
-    near = cross_pairs(label(rows), ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, lambda large, small: False)
+    def too_little(x, y):
+        need = -(-percent * (x["n"].min() + y["n"].min()) // up) + x["hub_n"].min() - x["both"].max() - y["both"].max()
+        return min((x["size"] - x["pos"]).max(), (y["size"] - y["pos"]).max()) < need
+
+    near = cross_pairs(label(rows), ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, too_little)
 
     # what is left by keys: sets that are not both known to resemble one hub
     marked = label(g)
@@ -322,10 +423,9 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
             room = np.where(same, np.minimum(room, bound), room)
             # settled by differences, or measured as a star
             open_ = open_ & ~(same & ((x[f"near{t}"] == 1) & (y[f"near{t}"] == 1) | (x["id"] == y[f"hub{t}"]) | (y["id"] == x[f"hub{t}"])))
-        # size 0: sizes are not known, and rule out nothing
-        return open_ & ((n1 == 0) | (n2 == 0) | sized(n1, n2) & (up * room >= percent * (n1 + n2)))
+        return open_ & sized(n1, n2) & (up * room >= percent * (n1 + n2))
 
-    far = cross_pairs(rows, ["key", "id", "size", "pos", "label", *by_round], undecided, lambda large, small: 100 * small < percent * large)
+    far = cross_pairs(rows, ["key", "id", "size", "pos", "label", *by_round], undecided, apart(percent))
     two = measure(near.union(far).distinct(), False).where("linked").select("a", "b")
     links = table(one.union(two).distinct(), "links")
     return links, table(components(links), "labels")

@@ -40,9 +40,8 @@ from . import linking
 from .common import free_caches, near_ids, over_batches, prepare, table, texts_as_bytes
 
 N_GRAM, PERCENT = 4, 85
-#: Counters of the sketch that finds frequent shingles, and their share of the documents.
-SKETCH, FREQUENT = 1 << 19, 0.0002
-_SLICES = 64
+#: Share of the documents from which on a shingle counts as frequent.
+FREQUENT = 0.0002
 _SIGNATURE = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SETS = "rid long, doc_id {id}, h long, n long, digest binary, signature binary, keys binary"
@@ -75,38 +74,11 @@ def exact_set(text: bytes, n: int) -> set:
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else {tuple(words)}
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 19)).astype(np.int64)
-
-
 def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
     """Which counters of the sketch hold a shingle that more than FREQUENT of the documents have."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_caches()
-        counts, rows = np.zeros(SKETCH, np.int64), 0
-        for batch in batches:
-            found = [shingles(text, n) for text in texts_as_bytes(batch.column(0))]
-            if found:
-                counts += np.bincount(slot(np.concatenate(found)), minlength=SKETCH)
-            rows += batch.num_rows
-        if rows:
-            parts = counts.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "rows": pa.array([rows] * _SLICES, pa.int64()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH // _SLICES, np.int64)
-        for b in t.column("counts"):
-            total += np.frombuffer(b.as_py(), np.int64)
-        return pa.table({"slice": t.column("slice")[:1], "rows": pa.array([sum(t.column("rows").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "slice int, rows long, counts binary"
-    got = docs.select("text").mapInArrow(count, kind).groupBy("slice").applyInArrow(add, kind).orderBy("slice").collect()  # SKETCH counters
-    if not got:
-        return np.zeros(SKETCH, bool)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got])
+    counts, rows = linking.counters(docs.select("text"), lambda batch: np.concatenate([shingles(text, n) for text in texts_as_bytes(batch.column(0))]))
     usual = float(np.median(counts))
-    return counts > usual + max(2.0, FREQUENT * got[0]["rows"], 6 * usual**0.5)
+    return counts > usual + max(2.0, FREQUENT * rows, 6 * usual**0.5)
 
 
 def sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -123,7 +95,7 @@ def sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFra
             digest.append(xxhash.xxh3_128_digest(s.tobytes()))
             parts = np.bincount((s & np.uint64(_SIGNATURE - 1)).astype(np.int64), minlength=_SIGNATURE)
             signature.append(parts.astype(np.uint8).tobytes() if parts.max() < 256 else None)
-            often = frequent[slot(s)]
+            often = frequent[linking.slot(s)]
             first = len(s) - -(-percent * len(s) // 100) + 1
             keys.append(np.concatenate([s[~often][:first], s[often][: max(0, first - int((~often).sum()))]]).tobytes())
         more = [pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(keys, pa.binary())]
@@ -179,13 +151,14 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
     def measure(pairs: DataFrame, diffs: bool) -> DataFrame:
         def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             free_caches()
-            last, mine = None, set()
+            mine: set = set()
             for batch in batches:
                 out = []
-                for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), texts_as_bytes(batch.column(3)), strict=True):
-                    if a != last:
-                        last, mine = a, exact_set(x, n)
-                    other = exact_set(y, n)
+                for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
+                    if b is None:  # the hub's own row comes first
+                        mine = exact_set(text, n)
+                        continue
+                    other = exact_set(text, n)
                     k = len(mine & other)
                     linked = 100 * k >= percent * (len(mine) + len(other) - k)
                     out.append((a, b, len(mine), len(other), k, k, linked, linking.difference(mine, other, code) if diffs else None))
@@ -198,8 +171,7 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
         ids = open_.select(F.col("a").alias("rid")).union(open_.select("b")).distinct().join(where_, "rid")
         ids = table(ids, "ids")
         texts = table(texts_of(docs, ids), "texts")
-        both = open_.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("x")), "a")
-        out = both.select("a", "b", "x", "y").mapInArrow(overlap, linking.MEASURED)
+        out = linking.beside_hub(open_, texts.withColumnRenamed("rid", "id")).mapInArrow(overlap, linking.MEASURED)
         if not diffs:
             return out
         closed = judged.where("not open").select("a", "b", "na", "nb", F.lit(0).cast("long").alias("least"), "most", F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))
