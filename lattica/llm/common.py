@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes in an Arrow batch, as texts may be long: bounds a Python worker's memory.
 BATCH_BYTES = "2m"
@@ -38,9 +40,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lattica-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -106,7 +110,13 @@ def free_caches(keep: str | None = None) -> None:
             clear()
 
 
-def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, keep: str | None = None) -> DataFrame:
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., and these names by docs' own, which may hold dots or clash with a helper's."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, keep: str | None = None) -> DataFrame:
     """mapInArrow with a function of one batch; keep names the worker cache that it uses."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +143,6 @@ def near_ids(docs: DataFrame, ids: DataFrame, inside: bool = True, on: str = "do
     A superset of the rows with these ids, without a shuffle of docs: what is
     broadcast is slot numbers, SLOTS of them at most however many ids there are.
     """
-    slot = F.pmod(F.xxhash64(on), F.lit(SLOTS))
-    slots = ids.select(slot.alias("__slot")).distinct()
-    return docs.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi" if inside else "left_anti").drop("__slot")
+    slot = F.pmod(F.xxhash64(F.col(on)), F.lit(SLOTS))
+    slots = ids.select(slot.alias("lattica_slot")).distinct()
+    return docs.join(F.broadcast(slots), slot == F.col("lattica_slot"), "left_semi" if inside else "left_anti")
