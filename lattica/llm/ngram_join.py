@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import free_caches, near_ids, over_batches, prepare, table, texts_as_bytes
+from .common import free_caches, near_ids, numbered, over_batches, prepare, table, texts_as_bytes
 
 N_GRAM, PERCENT = 4, 85
 #: Share of the documents from which on a shingle counts as frequent.
@@ -187,8 +187,10 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
     marked = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").where("root is not null or copies > 1").select("digest", "least", F.coalesce("root", "rid").alias("root"))
     least = marked.groupBy("root").agg(F.min("least").alias("least"))
     of = marked.select("digest", "root").join(least, "root").select("digest", F.col("least.doc_id").alias("c"), F.col("least.lead").alias("lead"), F.lit(True).alias("hit"))
-    out = w.select("rid", "doc_id", "h", "n", "digest").join(of, "digest", "left")
-    return out.select("rid", "doc_id", "h", "n", F.when(F.col("hit"), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("lead", "rid").alias("lead"))
+    # empty sets meet nothing: their null digests stay out of the join
+    own = ["rid", "doc_id", "h", "n"]
+    out = w.where("n > 0").select(*own, "digest").join(of, "digest", "left").select(*own, F.when(F.col("hit"), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("lead", "rid").alias("lead"))
+    return out.unionByName(w.where("n = 0").select(*own, F.col("doc_id").alias("component_id"), F.col("rid").alias("lead")))
 
 
 def join_documents(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) -> DataFrame:
@@ -204,11 +206,13 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     """
     rows = component_rows(docs, n, percent)
     keys = rows.groupBy("doc_id", "h").agg(F.max(F.col("rid") == F.col("lead")).alias("keep"), F.count("*").alias("copies"))
-    odd = table(keys.where("not keep or copies > 1"), "dropped")
-    touched = near_ids(docs, odd).withColumn("__h", F.xxhash64("text")).alias("d").join(odd.select(F.col("doc_id").alias("__i"), F.col("h").alias("__j"), F.col("keep").alias("__keep")), F.expr("d.doc_id <=> __i and __h = __j"), "left")
-    alone = touched.where("__keep is null").select(*(F.col(f"d.`{c}`") for c in docs.columns))
-    first = touched.where("__keep").dropDuplicates(["__i", "__j"]).select(*(F.col(f"d.`{c}`") for c in docs.columns))
-    return near_ids(docs, odd, inside=False).select(*docs.columns).unionByName(alone).unionByName(first)
+    odd = table(keys.where("not keep or copies > 1"), "dropped").select(F.col("doc_id").alias("odd_id"), F.col("h").alias("odd_h"), "keep")
+    plain, names = numbered(docs)
+    at, ids = names["doc_id"], odd.select(F.col("odd_id").alias(names["doc_id"]))
+    touched = near_ids(plain, ids, on=at).withColumn("own_h", F.xxhash64(names["text"])).join(odd, F.col(at).eqNullSafe(F.col("odd_id")) & (F.col("own_h") == F.col("odd_h")), "left")
+    alone = touched.where("keep is null").select(*plain.columns)
+    first = touched.where("keep").dropDuplicates(["odd_id", "odd_h"]).select(*plain.columns)
+    return near_ids(plain, ids, inside=False, on=at).unionByName(alone).unionByName(first).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
