@@ -23,7 +23,8 @@ Defined results: a null source is a source of its own; rows that repeat id and
 text stand next to each other in any order, being equal; null ids and null texts
 have hashes like others; a source without a weight gets the smallest weight that
 is given; weights of absent sources are ignored; weights must be positive; an
-empty table gives an empty result. Columns of any other names are carried along.
+empty table gives an empty result. Columns of any other names, dotted or like our own,
+are carried along.
 """
 
 from __future__ import annotations
@@ -35,14 +36,18 @@ import math
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 BLOCK_ROWS = 64
 #: Rows of a bucket within which rows are numbered by sorting, about.
 BUCKET_ROWS = 4096
 #: Sources are listed on the driver: more of them is an error.
 MOST_SOURCES = 1024
+#: Text of a partition of mixed documents, and its rows at most.
+PARTITION_BYTES, MOST_ROWS = 16 << 20, 65536
 
 
 def exact_shares(weights: list[float]) -> list[int]:
@@ -123,7 +128,7 @@ def _times(spark: SparkSession, phases: list[list[dict]]) -> DataFrame:
             values = ([i] * n, [p["phase"]] * n, range(n), p["times"], (k * size // a for k in range(n)), (-(-(k + 1) * size // a) for k in range(n)))
             for c, v in zip(cols, values, strict=True):
                 c.extend(v)
-    names = ["__sid4", "__phase4", "__k4", "__at", "__from", "__until"]
+    names = ["sid4", "phase4", "k4", "at", "from", "until"]
     return spark.createDataFrame(pa.table({name: pa.array([min(v, _LONG) for v in c], pa.int64()) for name, c in zip(names, cols, strict=True)}))
 
 
@@ -139,69 +144,82 @@ def _split(schema: str) -> list[str]:
     return [x.strip() for x in out]
 
 
-def _order() -> list[Column]:
-    return [F.xxhash64(F.lit("mix"), "doc_id", "text"), F.col("doc_id"), F.xxhash64("text")]
-
+#: What mix adds to each row.
+PLACES = ("phase", "block", "offset", "release", "deadline", "slot", "position")
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
-    """docs with __phase, __block, __offset, __release, __deadline, __slot and __position.
 
-    weights by source; None: by the square root of the sources' numbers of rows.
-    """
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None, block_rows: int, total: int) -> DataFrame:
+    """docs under numbered names, with PLACES."""
     spark = docs.sparkSession
-    # bucket counts: one row for each source and bucket
-    total = docs.count()
+    plain, names = numbered(docs)
+    source, doc_id, text = (F.col(names[c]) for c in ("source", "doc_id", "text"))
     buckets = max(1, -(-total // BUCKET_ROWS))
-    keyed = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "text"), F.lit(buckets)))
-    counts = keyed.groupBy(F.col("source").alias("__s"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
-    sizes = counts.groupBy("__s").agg(F.sum("__n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    keyed = plain.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), doc_id, text), F.lit(buckets)))
+    # bucket counts: one row for each source and bucket
+    counts = keyed.groupBy(source.alias("s"), F.col("bucket").alias("b")).agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("s").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sizes = sorted(sizes, key=lambda r: (r[0] is not None, r[0] or ""))
-    names = [r[0] for r in sizes]
+    sources = [r[0] for r in sizes]
     if weights is None:
         given = [r[1] ** 0.5 for r in sizes]
     else:
         if not weights or min(weights.values()) <= 0:
             raise ValueError("weights must be positive")
-        given = [weights.get(s, min(weights.values())) for s in names]
+        given = [weights.get(s, min(weights.values())) for s in sources]
     phases = schedule([-(-r[1] // block_rows) for r in sizes], given)
     # the plan as tables: the phases of each source, and the times, releases and deadlines of each phase's period
-    short = [{"sid": i, "source": s or "", "none": s is None, "phases": [{k: min(v, _LONG) for k, v in p.items() if k != "times"} for p in ps]} for i, (s, ps) in enumerate(zip(names, phases, strict=True))]
-    of_source = _small(spark, short, _PHASES).select(F.when(~F.col("none"), F.col("source")).alias("__s3"), F.col("sid").alias("__sid"), F.col("phases").alias("__phases"))
+    short = [{"sid": i, "source": s or "", "none": s is None, "phases": [{k: min(v, _LONG) for k, v in p.items() if k != "times"} for p in ps]} for i, (s, ps) in enumerate(zip(sources, phases, strict=True))]
+    of_source = _small(spark, short, _PHASES).select(F.when(~F.col("none"), F.col("source")).alias("s3"), "sid", "phases")
     at = _times(spark, phases)
 
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__s", "__b", "__n", before.alias("__before"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("s", "b", "n", before.alias("before"))
     # small tables as yet, a row for each bucket's blocks: texts then meet their slots by bucket
-    plan = starts.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__before") / block_rows), F.floor((F.col("__before") + F.col("__n") - 1) / block_rows))))
+    plan = starts.withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("n") - 1) / block_rows))))
     # this broadcast is bounded by MOST_SOURCES, whatever the rows
-    plan = plan.join(F.broadcast(of_source), F.col("__s").eqNullSafe(F.col("__s3")))
-    plan = plan.withColumn("__p", F.expr("element_at(filter(__phases, p -> p.first <= __block), -1)")).withColumn("__step", F.expr("__block - __p.first")).withColumn("__k", F.expr("__step % __p.share")).drop("__phases")
-    plan = plan.join(at, F.expr("__sid = __sid4 and __p.phase = __phase4 and __k = __k4")).withColumn("__base", F.expr("__p.start + (__step div __p.share) * __p.period"))
-    entry = F.struct("__block", F.col("__p.phase").alias("__phase"), *((F.col("__base") + F.col(c)).alias(name) for c, name in (("__from", "__release"), ("__until", "__deadline"), ("__at", "__slot"))))
-    plan = plan.groupBy("__s", "__b", "__before").agg(F.array_sort(F.collect_list(entry)).alias("__plan"))
-    within = F.row_number().over(Window.partitionBy("source", "__bucket").orderBy(*_order())) - 1
-    rows = keyed.withColumn("__within", within).alias("r").join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    number = F.col("__before") + F.col("__within")
-    rows = rows.withColumn("__block", F.floor(number / block_rows)).withColumn("__offset", number % block_rows)
-    rows = rows.withColumn("__e", F.get("__plan", (F.col("__block") - F.floor(F.col("__before") / block_rows)).cast("int")))
-    rows = rows.select("*", *(F.col(f"__e.{c}").alias(c) for c in ("__phase", "__release", "__deadline", "__slot")))
-    rows = rows.withColumn("__position", F.col("__slot") * block_rows + F.col("__offset"))
-    return rows.select(*(F.col(f"r.`{c}`") for c in docs.columns), "__phase", "__block", "__offset", "__release", "__deadline", "__slot", "__position")
-
-
-def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, partition_rows: int = 16384) -> DataFrame:
-    """docs in the mixed order: partitions are consecutive parts of it, sorted; so are the files written from them."""
-    rows = mix(docs, weights)
-    n = max(1, -(-docs.count() // partition_rows))
+    plan = plan.join(F.broadcast(of_source), F.col("s").eqNullSafe(F.col("s3")))
+    plan = plan.withColumn("p", F.expr("element_at(filter(phases, p -> p.first <= block), -1)")).withColumn("step", F.expr("block - p.first")).withColumn("k", F.expr("step % p.share")).drop("phases")
+    plan = plan.join(at, F.expr("sid = sid4 and p.phase = phase4 and k = k4")).withColumn("base", F.expr("p.start + (step div p.share) * p.period"))
+    entry = F.struct("block", F.col("p.phase").alias("phase"), *((F.col("base") + F.col(c)).alias(name) for c, name in (("from", "release"), ("until", "deadline"), ("at", "slot"))))
+    plan = plan.groupBy("s", "b", "before").agg(F.array_sort(F.collect_list(entry)).alias("plan"))
+    order = [F.xxhash64(F.lit("mix"), doc_id, text), doc_id, F.xxhash64(text)]
+    within = F.row_number().over(Window.partitionBy(source, "bucket").orderBy(*order)) - 1
+    rows = keyed.withColumn("within", within).join(plan, source.eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    number = F.col("before") + F.col("within")
+    rows = rows.withColumn("block", F.floor(number / block_rows)).withColumn("offset", number % block_rows)
+    rows = rows.withColumn("e", F.get("plan", (F.col("block") - F.floor(F.col("before") / block_rows)).cast("int")))
+    position = (F.col("e.slot") * block_rows + F.col("offset")).alias("position")
+    return rows.select(*plain.columns, "e.phase", "block", "offset", "e.release", "e.deadline", "e.slot", position)
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
+    """docs with __phase, __block, __offset, __release, __deadline, __slot and __position after its own columns.
+
+    weights by source; None: by the square root of the sources' numbers of rows.
+    period is taken for older callers and has no effect.
+    """
+    return _placed(docs, weights, block_rows, docs.count()).toDF(*docs.columns, *(f"__{c}" for c in PLACES))
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, partition_rows: int | None = None) -> DataFrame:
+    """docs in the mixed order: partitions are consecutive parts of it, sorted; so are the files written from them.
+
+    partition_rows: rows of a partition; None: as many as have PARTITION_BYTES of text, about.
+    """
+    total, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if partition_rows is None:
+        partition_rows = max(BLOCK_ROWS, min(MOST_ROWS, PARTITION_BYTES * total // max(1, size or 0)))
+    rows = _placed(docs, weights, BLOCK_ROWS, total)
+    n = max(1, -(-total // partition_rows))
     # positions run to at most block_rows times the blocks: gaps only where a source's last block is short
-    part = F.least(F.floor(F.col("__position") / partition_rows), F.lit(n - 1)).cast("int")
-    return rows.repartitionById(n, part).sortWithinPartitions("__position").select(*docs.columns)
+    part = F.least(F.floor(F.col("position") / partition_rows), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions("position").select(*numbered(docs)[0].columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
     rows = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return rows.select("doc_id", "source", *(F.col(f"__{c}").cast("long").alias(c) for c in ("phase", "block", "offset", "release", "deadline", "slot", "position")))
+    return rows.select("doc_id", "source", *(F.col(f"__{c}").cast("long").alias(c) for c in PLACES))
