@@ -1,18 +1,26 @@
 """Operator 4: quality rules as a short-circuit cascade.
 
-The base counts of a text are always computed, as the contract returns them. A
-text that fails the base is rejected at once; for the others the rules run one
-after another until one rejects. Their order comes from a sample: each rule's
-mean seconds and share of rejections are measured, and rules with the most
-rejections per second go first. A text is kept if no rule rejects it, so the
-order changes the cost and never the verdict. judge and filter_documents use
-RULES; the query uses SQL_RULES, which differ from them in texts with letters
-outside ASCII.
+What rules look at is computed when a rule first asks for it, and at most once
+for a text. Rules run one after another until one rejects; what later rules alone
+would have asked for is never computed. Their order comes from a sample of the
+whole table: each rule's seconds on texts of which nothing is computed yet, and
+which of them it rejects. The rule with the most rejections per second goes
+first, then the one with the most per second among the texts that are left, and
+so on. A text is kept if no rule rejects it, so the order changes the cost and
+never the verdict.
+
+filter_documents orders the rules of the base (too few words, too many words in
+repeated windows) together with the others. judge returns the base counts of
+every text, so it computes them first, rejects by the base, and orders the other
+rules by what the base leaves. Both use RULES; the query uses SQL_RULES, which
+differ from them in texts with letters outside ASCII.
 
 Defined results: null text is an empty text (no words, base failed, not kept);
 rows are judged one by one, so repeated rows, null or repeated doc_ids and ties
 have no effect; an empty table gives an empty result; other columns of the
-input are ignored (or carried along by filter_documents). Whole texts are read.
+input, whatever their names, are ignored (or carried along by filter_documents).
+Whole texts are read. rejected_by names the first rule that rejects in the order
+of that run; a text that several rules reject may have another one in the next.
 """
 
 from __future__ import annotations
@@ -20,13 +28,13 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, prepare, texts_as_bytes
+from .common import numbered, over_batches, prepare, texts_as_bytes
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -40,18 +48,43 @@ SAMPLE_ROWS = 400
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
 
-@dataclass
 class Facts:
-    """What rules may look at; the counts are the base's."""
+    """What rules may look at, computed on demand; the counts are the base's."""
 
-    text: bytes
-    words: list[bytes]
-    n_words: int
-    word_chars: int
-    n_symbols: int
-    n_lines: int
-    n_dup_lines: int
-    n_repeat_words: int
+    def __init__(self, text: bytes) -> None:
+        self.text = text
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text.translate(None, _SPACES + _CONTINUATION))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.text) - len(self.text.translate(None, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.text.split(b"\n") if x.strip()]
+
+    @cached_property
+    def n_lines(self) -> int:
+        return len(self.lines)
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_window_words(self.words)
 
 
 Rule = tuple[str, Callable[[Facts], bool]]
@@ -115,52 +148,60 @@ def repeated_window_words(words: list[bytes], width: int = 5) -> int:
     return covered
 
 
-def facts(text: bytes) -> Facts:
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    return Facts(
-        text,
-        words,
-        len(words),
-        len(text.translate(None, _SPACES + _CONTINUATION)),
-        len(text) - len(text.translate(None, SYMBOLS)),
-        len(lines),
-        len(lines) - len(set(lines)),
-        repeated_window_words(words),
-    )
+def _too_few_words(f: Facts) -> bool:
+    return f.n_words < 10
+
+
+def _too_many_repeated_words(f: Facts) -> bool:
+    return 100 * f.n_repeat_words > 20 * f.n_words
+
+
+BASE_RULES: tuple[Rule, ...] = (("too_few_words", _too_few_words), ("repeated_words", _too_many_repeated_words))
 
 
 def base_failed(f: Facts) -> bool:
-    return f.n_words < 10 or 100 * f.n_repeat_words > 20 * f.n_words
+    return any(rejects(f) for _, rejects in BASE_RULES)
 
 
-def measured(text: bytes, rules: tuple[Rule, ...]) -> list[tuple[str, float, int]]:
-    """Seconds and verdict of every rule on one text of the sample."""
-    f = facts(text)
+def measured(text: bytes, rules: tuple[Rule, ...]) -> list[tuple[float, bool]]:
+    """Seconds and verdict of every rule on one text, each with nothing computed before."""
     out = []
-    for name, rejects in rules:
+    for _, rejects in rules:
+        f = Facts(text)
         began = time.perf_counter()
         verdict = rejects(f)
-        out.append((name, time.perf_counter() - began, int(verdict)))
+        out.append((time.perf_counter() - began, verdict))
     return out
 
 
-def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on a sample of about sample_rows rows over the whole table."""
+def ordered(names: list[str], rows: list[tuple[list[float], list[bool]]]) -> list[str]:
+    """Names by rejections per second among what the ones before leave; rows: seconds and verdicts of each rule on a text."""
+    cost = {n: sum(s[i] for s, _ in rows) / max(1, len(rows)) for i, n in enumerate(names)}
+    left, out = list(range(len(rows))), []
+    while len(out) < len(names):
+        rest = [n for n in names if n not in out]
+        hits = {n: sum(rows[r][1][names.index(n)] for r in left) for n in rest}
+        best = min(rest, key=lambda n: (-hits[n] / max(cost[n], 1e-9), names.index(n)))
+        left = [r for r in left if not rows[r][1][names.index(best)]]
+        out.append(best)
+    return out
+
+
+def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, after_base: bool = True) -> list[str]:
+    """Rule names in the cascade's order, from a sample of about sample_rows rows over the whole table; after_base: of rows that the base leaves."""
     prepare(docs.sparkSession)
+    names = [name for name, _ in rules]
     total = docs.count()
     if not total:
-        return [name for name, _ in rules]
+        return names
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [x for text in texts_as_bytes(batch.column(0)) for x in measured(text, rules)]
-        return pa.RecordBatch.from_pydict({"rule": [r[0] for r in rows], "seconds": [r[1] for r in rows], "rejected": pa.array([r[2] for r in rows], pa.int64())})
+        rows = [measured(text, rules) for text in texts_as_bytes(batch.column(0)) if not after_base or not base_failed(Facts(text))]
+        return pa.RecordBatch.from_arrays([pa.array([[c for c, _ in r] for r in rows], pa.list_(pa.float64())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.bool_()))], names=["seconds", "rejected"])
 
     sample = docs.select("text").sample(fraction=min(1.0, sample_rows / total), seed=4)
-    stats = over_batches(sample, measure, "rule string, seconds double, rejected long").groupBy("rule").agg(F.avg("rejected").alias("p"), F.avg("seconds").alias("c")).collect()
-    gain = {r["rule"]: r["p"] / max(r["c"], 1e-9) for r in stats}  # one row for each rule
-    names = [name for name, _ in rules]
-    return sorted(names, key=lambda n: (-gain.get(n, 0.0), names.index(n)))
+    got = over_batches(sample, measure, "seconds array<double>, rejected array<boolean>").collect()  # about sample_rows rows
+    return ordered(names, [(r["seconds"], r["rejected"]) for r in got])
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -173,7 +214,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(8)]
         for text in texts_as_bytes(batch.column(batch.num_columns - 1)):
-            f = facts(text)
+            f = Facts(text)
             failed = base_failed(f)
             by = "base" if failed else next((name for name, rejects in cascade if rejects(f)), None)
             for c, v in zip(cols, (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, by is None, by), strict=True):
@@ -193,18 +234,16 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that the cascade keeps, with the input's columns in their order."""
     prepare(docs.sparkSession)
-    by_name = dict(rules)
-    cascade = [(name, by_name[name]) for name in rule_order(docs, rules)]
+    every = (*BASE_RULES, *rules)
+    cascade = [dict(every)[name] for name in rule_order(docs, every, after_base=False)]
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        verdicts = []
-        for text in texts_as_bytes(batch.column(at)):
-            f = facts(text)
-            verdicts.append(not base_failed(f) and not any(rejects(f) for _, rejects in cascade))
+        verdicts = [not any(rejects(f) for rejects in cascade) for f in map(Facts, texts_as_bytes(batch.column(at)))]
         return batch.filter(pa.array(verdicts, pa.bool_()))
 
-    return over_batches(docs, run, docs.schema)
+    plain, _ = numbered(docs)
+    return over_batches(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
