@@ -8,12 +8,13 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators.compare import differences
+from lattica.operators.compare import differences, named_differences
 from lattica.plans.closure import classify
 from lattica.plans.frontend import encode_axioms, retain, retain_stats
 from lattica.sources import sinks
-from lattica.sources.encoded import load_ontology, read_text
+from lattica.sources.encoded import load_ontology, read_dictionary, read_text
 from lattica.sources.owl import read_functional, write_functional
+from lattica.storage import temporary
 
 
 def profile(spark: SparkSession, source: str, target: str) -> None:
@@ -24,22 +25,28 @@ def profile(spark: SparkSession, source: str, target: str) -> None:
 
 
 def encode(spark: SparkSession, source: str, target: str, seed_individuals: bool = False) -> None:
-    tables, dictionary = encode_axioms(read_functional(spark, source), seed_individuals)
-    sinks.write_ontology(tables, target, dictionary)
+    with temporary(spark):
+        tables, dictionary = encode_axioms(read_functional(spark, source), seed_individuals)
+        sinks.write_ontology(tables, target, dictionary)
 
 
 def classify_folder(spark: SparkSession, source: str, target: str, fmt: str = "txt", single_file: bool = False) -> str:
-    """S and R of an encoded ontology; a line of statistics."""
+    """S and R of an encoded ontology; a line of statistics. What it wrote on the way is removed."""
     began = time.perf_counter()
-    found = classify(load_ontology(spark, source, fmt))
-    sinks.write_text(found.s, f"{target.rstrip('/')}/sAxioms", single_file)
-    sinks.write_text(found.r, f"{target.rstrip('/')}/rAxioms", single_file)
+    with temporary(spark):
+        found = classify(load_ontology(spark, source, fmt))
+        sinks.write_text(found.s, f"{target.rstrip('/')}/sAxioms", single_file)
+        sinks.write_text(found.r, f"{target.rstrip('/')}/rAxioms", single_file)
     return f"rounds={len(found.rounds)} partitions={spark.conf.get('spark.sql.shuffle.partitions')} seconds={time.perf_counter() - began:.3f}"
 
 
-def diff(spark: SparkSession, ours: str, theirs: str) -> int:
-    """Rows that only one of two results has."""
-    found = differences(read_text(spark, ours, "s"), read_text(spark, theirs, "s"))
+def diff(spark: SparkSession, ours: str, theirs: str, our_dictionary: str | None = None, their_dictionary: str | None = None) -> int:
+    """Rows that only one of two results has: by code, or by term if both have a dictionary."""
+    a, b = read_text(spark, ours, "s"), read_text(spark, theirs, "s")
+    if our_dictionary and their_dictionary:
+        found = named_differences(a, read_dictionary(spark, our_dictionary), b, read_dictionary(spark, their_dictionary))
+    else:
+        found = differences(a, b)
     found.orderBy("side", "subConcept", "superConcept").show(100, truncate=False)
     return found.agg(F.count("*")).first()[0]
 
@@ -53,6 +60,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("target")
         if name == "encode":
             p.add_argument("--seed-individuals", action="store_true")
+        if name == "diff":
+            p.add_argument("--dictionaries", nargs=2, metavar=("OURS", "THEIRS"), default=(None, None))
         if name == "classify":
             p.add_argument("--format", choices=("txt", "json", "parquet"), default="txt")
             p.add_argument("--single-file", action="store_true")
@@ -65,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "classify":
         print(classify_folder(spark, a.source, a.target, a.format, a.single_file))
     else:
-        return int(diff(spark, a.source, a.target) > 0)
+        return int(diff(spark, a.source, a.target, *a.dictionaries) > 0)
     return 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.schemas import TOP, TOP_NAME
+from lattica.schemas import ROLE_COLUMNS, TOP, TOP_NAME
 from lattica.storage import shared_path, written
 
 
@@ -28,11 +28,19 @@ def build_dictionary(terms: DataFrame) -> DataFrame:
     return spark.createDataFrame([(TOP, TOP_NAME, 0)], coded.schema).unionByName(coded)
 
 
+def _words(dictionary: DataFrame, column: str) -> DataFrame:
+    """The part of a dictionary that a column takes its terms from.
+
+    A role column has few values, on which a shuffled join would gather nearly all rows;
+    roles alone are small enough for Spark to send them to every task by itself.
+    """
+    return dictionary.where("kind = 1") if column in ROLE_COLUMNS and "kind" in dictionary.columns else dictionary
+
+
 def encode(df: DataFrame, dictionary: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
     """Terms in the columns replaced by codes. A term without a code is an error, or with strict=False its row is left out."""
-    words = dictionary.select("code", "term")
     for c in columns:
-        side = words.select(F.col("term").alias("__t"), F.col("code").alias("__c"))
+        side = _words(dictionary, c).select(F.col("term").alias("__t"), F.col("code").alias("__c"))
         joined = df.join(side, F.col(c) == F.col("__t"), "left" if strict else "inner")
         code = F.coalesce("__c", F.raise_error(F.concat(F.lit("no code for term "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("long")) if strict else F.col("__c")
         df = joined.withColumn(c, code).drop("__t", "__c")
@@ -41,9 +49,8 @@ def encode(df: DataFrame, dictionary: DataFrame, columns: list[str], strict: boo
 
 def decode(df: DataFrame, dictionary: DataFrame, columns: list[str]) -> DataFrame:
     """Codes in the columns replaced by terms; a code without a term is an error."""
-    words = dictionary.select("code", "term")
     for c in columns:
-        side = words.select(F.col("code").alias("__c"), F.col("term").alias("__t"))
+        side = _words(dictionary, c).select(F.col("code").alias("__c"), F.col("term").alias("__t"))
         term = F.coalesce("__t", F.raise_error(F.concat(F.lit("no term for code "), F.col(c).cast("string"))))
         df = df.join(side, F.col(c) == F.col("__c"), "left").withColumn(c, term).drop("__t", "__c")
     return df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.setops import pair_filter, symmetric, union_all
+from lattica.operators.setops import pair_filter, semi_filter, symmetric, union_all
 
 C = F.col
 
@@ -68,7 +68,8 @@ def rule4(s: DataFrame, r: DataFrame, t4: DataFrame, plan: str = "filler_first")
     """(X, Y) in R(r), A in S(Y), some r A <= B: B in S(X).
 
     filler_first: s with axioms, then pairs on role and Y; role_first: pairs with
-    axioms, then s on Y and filler; pair_first: pairs with s, then axioms on both.
+    axioms, then s on Y and filler; pair_first: pairs with s, then axioms on both;
+    filler_then_pair: s with axioms, then pairs on Y, of which those of the role stay.
     """
     t = t4.select(C("lhsRole").alias("t_role"), C("lhsFiller").alias("t_filler"), C("superConcept").alias("b"))
     a, p = _s(s, "a"), _r(r, "p")
@@ -79,14 +80,21 @@ def rule4(s: DataFrame, r: DataFrame, t4: DataFrame, plan: str = "filler_first")
         j = p.join(t, role).join(a, pair & filler)
     elif plan == "pair_first":
         j = p.join(a, pair).join(t, role & filler)
+    elif plan == "filler_then_pair":
+        j = a.join(t, filler).join(p, pair).where(role)
     else:
         raise ValueError(plan)
     return _s_out(j, "p_x", "b")
 
 
 def rule4_delta(s_new: DataFrame, s: DataFrame, r_new: DataFrame, r: DataFrame, t4: DataFrame) -> DataFrame:
-    """Rule 4 for what is new on either side."""
-    return union_all(rule4(s_new, r, t4), rule4(s, r_new, t4, "role_first"))
+    """Rule 4 for what is new on either side.
+
+    New pairs meet s on Y, of which only fillers of axioms are left, and then axioms on
+    role and filler: role alone would multiply the pairs of a role by its axioms.
+    """
+    fillers = semi_filter(s, "superConcept", t4, "lhsFiller")
+    return union_all(rule4(s_new, r, t4), rule4(fillers, r_new, t4, "pair_first"))
 
 
 def rule5(r: DataFrame, t5: DataFrame) -> DataFrame:

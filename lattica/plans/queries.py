@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import text
 from lattica.operators import compare, dictionary, hierarchy, rules, setops
-from lattica.plans import closure
+from lattica.plans import closure, ontology_queries
 from lattica.plans.frontend import admitted
 from lattica.plans.workload import Commerce
 from lattica.schemas import columns
@@ -125,7 +125,7 @@ def queries() -> dict[str, Query]:
         "json_roundtrip": lambda c: text.from_json_lines(text.to_json_lines(c.tables["t3"], "t3"), "t3"),
         "profile_filter": _profile,
     }
-    return {k: _named(fn) for k, fn in of.items()}
+    return {k: _named(fn) for k, fn in {**of, **ontology_queries.queries()}.items()}
 
 
 _NAMED = """
@@ -212,6 +212,7 @@ def oracle_sql() -> dict[str, str]:
     shape = "list_extract(['class', 'some', 'and', 'value', 'oneof', 'other'], CAST(floor(o_orderkey / {}) AS BIGINT) % 6 + 1)"
     rule2, rule4, rule6 = (_with(_STEPS, f"SELECT {c} FROM {t}") for c, t in ((s_cols, "s2"), (s_cols, "s4"), (r_cols, "r6")))
     return {
+        **ontology_queries.oracle_sql(_with, _STEPS, _with(_CLOSURE, closed_s)),
         "encode_dictionary": _with("", "SELECT code, term FROM dict"),
         "encode_type1": _with("", "SELECT a AS \"subConcept\", b AS \"superConcept\" FROM t1"),
         "encode_type2": _with("", f"SELECT {t2_cols} FROM t2"),

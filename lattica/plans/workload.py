@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,6 +19,22 @@ def _name(prefix: str, c: str) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
+class _Written(Mapping):
+    def __init__(self, of: Commerce) -> None:
+        self.of, self.done = of, {}
+
+    def __getitem__(self, relation: str) -> DataFrame:
+        if relation not in self.done:
+            self.done[relation] = written(self.of.lazy(relation), shared_path(self.of.spark, relation))
+        return self.done[relation]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(("s", *self.of.named))
+
+    def __len__(self) -> int:
+        return 1 + len(self.of.named)
+
+
 @dataclass
 class Commerce:
     spark: SparkSession
@@ -65,11 +82,9 @@ class Commerce:
         return written(build_dictionary(self.terms), shared_path(self.spark, "dictionary"))
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        """s and t1 .. t6 in codes, written once."""
-        out = {k: encode(df, self.dictionary, columns(k)).select(*columns(k)) for k, df in self.named.items()}
-        out["s"] = seed(self.dictionary.where("kind = 0 and code <> 1"))
-        return {k: written(df, shared_path(self.spark, k)) for k, df in out.items()}
+    def tables(self) -> Mapping[str, DataFrame]:
+        """s and t1 .. t6 in codes, each written once, when it is first asked for."""
+        return _Written(self)
 
     def lazy(self, relation: str) -> DataFrame:
         """One encoded relation, without the others."""

@@ -16,6 +16,9 @@ RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
     "r": ("rAxioms", ("role", "pairX", "pairY")),
 }
 
+#: Columns that hold roles.
+ROLE_COLUMNS = frozenset(("role", "rhsRole", "lhsRole", "subRole", "superRole", "lhsRole1", "lhsRole2"))
+
 #: Code and name of the concept that holds all others.
 TOP, TOP_NAME = 1, "owl:Thing"
 

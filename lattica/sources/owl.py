@@ -101,12 +101,29 @@ def axioms_of(text: str) -> Iterator[tuple]:
     yield from walk(tree(text))
 
 
-def read_functional(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+#: What of a line is no structure: texts in quotes, IRIs, comments.
+_OPAQUE = r'"(?:[^"\\]|\\.)*"|<[^>]*>|#.*$'
+#: Lines that open or close a document.
+_FRAME = r"^\s*(Ontology\([^()]*|\))\s*$"
+
+
+def one_axiom_a_line(text: DataFrame) -> bool:
+    """Whether every line of the column `value` is whole in itself, but for those that open or close a document."""
+    bare = F.regexp_replace("value", _OPAQUE, "")
+    depth = F.length(F.translate(bare, ")", "")) - F.length(F.translate(bare, "(", ""))
+    framed = F.regexp_replace("value", r'<[^>]*>', "").rlike(_FRAME)
+    return text.where((depth != 0) & ~framed).isEmpty()
+
+
+def read_functional(spark: SparkSession, path: str, by_line: bool | None = None) -> DataFrame:
     """Axioms of a file or of all files of a folder.
 
-    by_line reads files in which each axiom stands on one line, split over tasks;
-    otherwise a file is parsed by one task.
+    Files in which each axiom stands on one line, as programs write them, are split
+    over tasks; of others a task parses a whole file. by_line None finds out which, at
+    the price of a scan.
     """
+    if by_line is None:
+        by_line = one_axiom_a_line(spark.read.text(path))
     text = spark.read.text(path, wholetext=not by_line).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +141,12 @@ def read_functional(spark: SparkSession, path: str, by_line: bool = False) -> Da
     return text.mapInArrow(parse, AXIOMS)
 
 
-def write_functional(axioms: DataFrame, path: str, iri: str = "urn:ontology") -> None:
-    """One document with every axiom on a line of its own."""
+def write_functional(axioms: DataFrame, path: str, iri: str = "urn:ontology", single_file: bool = True) -> None:
+    """Every axiom on a line of its own: one document, or with single_file=False a file of axioms from each task."""
     line = axioms.select(F.lit(1).alias("o"), F.col("text").alias("value"))
+    if not single_file:
+        line.select("value").write.mode("overwrite").text(path)
+        return
     spark = axioms.sparkSession
     frame = spark.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(f"Ontology(<{iri}>").alias("value")), F.struct(F.lit(2).alias("o"), F.lit(")").alias("value")))).alias("x")).select("x.*")
     line.unionByName(frame).coalesce(1).sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)

@@ -1,7 +1,8 @@
 """Keep a closure up to date while axioms arrive as a stream of encoded rows.
 
-The rules are monotone: what was derived stays. So a micro-batch only adds its
-axioms and facts, and classification goes on from S and R as they are.
+The rules are monotone: what was derived stays. So a micro-batch costs what its
+axioms and facts give together with what is known, and the rounds that follow
+from that; relations grow by parts, and nothing that was written is written again.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lattica.operators.setops import union_distinct
-from lattica.plans.closure import Closure, classify
+from lattica.operators.setops import delta
+from lattica.plans.closure import Closure, Parts, classify
 from lattica.schemas import columns
 from lattica.storage import shared_path, written
 
@@ -20,16 +21,25 @@ STREAMED = "relation string, a long, b long, c long"
 
 class Incremental:
     def __init__(self, tables: dict[str, DataFrame]) -> None:
-        self.tables = dict(tables)
+        self.parts = {k: Parts(df, k) for k, df in tables.items()}
         self.closure: Closure = classify(self.tables)
 
+    @property
+    def tables(self) -> dict[str, DataFrame]:
+        return {k: p.all for k, p in self.parts.items()}
+
     def add(self, batch: DataFrame) -> Closure:
-        spark = batch.sparkSession
-        rows = written(batch.select("relation", "a", "b", "c"), shared_path(spark, "batch"))
-        for k in self.tables:
-            new = rows.where(f"relation = '{k}'").select("a", "b", "c").toDF("a", "b", "c").select(*(x for x, _ in zip(("a", "b", "c"), columns(k), strict=False))).toDF(*columns(k))
-            self.tables[k] = written(union_distinct(self.tables[k], new), shared_path(spark, k))
-        self.closure = classify({**self.tables, "s": union_distinct(self.tables["s"], self.closure.s)}, r=self.closure.r)
+        rows = written(batch.select("relation", "a", "b", "c"), shared_path(batch.sparkSession, "batch"))
+        here = {r["relation"] for r in rows.select("relation").distinct().limit(len(self.parts) + 1).collect()}  # names of relations
+        if unknown := here - set(self.parts):
+            raise ValueError(f"unknown relation: {min(unknown, key=repr)}")
+        added = {}
+        for k in sorted(here):
+            names = columns(k)
+            new = rows.where(f"relation = '{k}'").select(*("a", "b", "c")[: len(names)]).toDF(*names)
+            self.parts[k].compact()
+            added[k] = self.parts[k].add(delta(new, self.parts[k].all))
+        self.closure = classify(self.tables, known=self.closure, added=added)
         return self.closure
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
