@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,13 +67,33 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def paths_read(df: DataFrame) -> set[str]:
+    """The paths that a DataFrame reads its rows from, itself and what it is made of."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(k).toUri().getPath() for k in range(roots.size())}
+    return out
+
+
 @contextlib.contextmanager
-def stage_of_pipeline() -> Iterator[None]:
-    """Within it, tables are noted and go when the next stage of a pipeline begins: what they led to is written by then."""
+def stage_of_pipeline(docs: DataFrame) -> Iterator[None]:
+    """Within it, tables are noted. When the next stage begins, they go, but for those that its input still reads.
+
+    So stages can be put together without writing what is between them; the result of a
+    stage that is not handed on has to be read or written before another stage begins.
+    """
     global _of_stage
+    still = paths_read(docs)
+    kept = []
     for df in _last_stage:
-        forget(df)
-    _last_stage.clear()
+        if urlparse(df._lattica_path).path in still:
+            kept.append(df)
+        else:
+            forget(df)
+    _last_stage[:] = kept
     _of_stage = []
     try:
         yield

@@ -35,6 +35,8 @@ _NAMES = [x.split()[0] for x in POSTING.split(", ")]
 BLOCK, HUBS = 512, 1
 #: Sets of a key that one task compares with each other; a key of more is cut into parts of about that many.
 CELL = 4096
+#: Edges that one task joins at the end of components.
+FINISH = 1 << 14
 #: Pairs of a hub that one task measures.
 HUB_PAIRS = 1024
 #: Counters of the sketch that finds frequent shingles, and the slices in which it moves.
@@ -294,18 +296,40 @@ def difference_rows(measured: DataFrame, percent: int) -> DataFrame:
     return placed.where("pos <= size - least").select("key", "id", "hub", "size", "pos", "both", "n", "hub_n")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges that it gets: each id and its root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "to"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and root of every id in edges (a, b long), by contraction.
 
     Each round every id joins the neighbour, or itself, with the least hash for
     the round; what is left of the edges connects those. All steps are joins and
     aggregates; the tables of a round are written, as lost executors would
-    otherwise repeat all rounds.
+    otherwise repeat all rounds. Rounds shrink the graph whatever its size; once no
+    more than FINISH edges are left, one task joins these.
     """
     spark = edges.sparkSession
     now = table(edges.where("a <> b").select("a", "b"), "edges")
     steps: list[DataFrame] = []
-    while not now.isEmpty():
+    while left := now.count():
+        if left <= FINISH:
+            steps.append(table(now.coalesce(1).mapInArrow(_joined, "id long, to long"), "step"))
+            forget(now)
+            break
         mark = lambda c: F.xxhash64(F.lit(len(steps)), c)  # noqa: B023, E731
         both = now.union(now.select("b", "a")).union(now.select("a", "a")).union(now.select("b", "b"))
         step = table(both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(mark(F.col("b")).alias("h"), F.col("b").alias("to"))).alias("m")).select("id", "m.to"), "step")

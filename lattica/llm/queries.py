@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bpe_automaton, capture_index, language_id, license_scan, line_dedup, ngram_join, pfair_mix, quality_mil, rule_cascade, topk_blocks
 
 
@@ -23,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.query,
         "op9_line_dedup": line_dedup.query,
         "op10_ngram_join": ngram_join.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
