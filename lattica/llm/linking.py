@@ -313,6 +313,30 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "to"])
 
 
+#: Columns of the index of differences that its pairs are judged by.
+DIFFERENCES = ["key", "id", "size", "pos", "both", "n", "hub_n"]
+
+
+def shared_enough(percent: int) -> Callable:
+    """Says of two sets described from one hub whether their differences may overlap as much as they have to."""
+
+    def open_(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+        need = -(-percent * (x["n"] + y["n"]) // (100 + percent)) + x["hub_n"] - x["both"] - y["both"]
+        return (x["label"] != y["label"]) & (np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need)
+
+    return open_
+
+
+def too_little(percent: int) -> Callable:
+    """The same for two blocks: no pair of theirs may."""
+
+    def closed(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> bool:
+        need = -(-percent * (x["n"].min() + y["n"].min()) // (100 + percent)) + x["hub_n"].min() - x["both"].max() - y["both"].max()
+        return min((x["size"] - x["pos"]).max(), (y["size"] - y["pos"]).max()) < need
+
+    return closed
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and root of every id in edges (a, b long), by contraction.
 
@@ -420,15 +444,7 @@ def link(postings: DataFrame, measure: Callable[[DataFrame, bool], DataFrame], p
     one = table(one.union(again.where("linked").select("a", "b")), "star_links")
     labels = table(components(one), "labels")
 
-    def shared_enough(x, y):
-        need = -(-percent * (x["n"] + y["n"]) // up) + x["hub_n"] - x["both"] - y["both"]
-        return (x["label"] != y["label"]) & (np.minimum(x["size"] - x["pos"], y["size"] - y["pos"]) >= need)
-
-    def too_little(x, y):
-        need = -(-percent * (x["n"].min() + y["n"].min()) // up) + x["hub_n"].min() - x["both"].max() - y["both"].max()
-        return min((x["size"] - x["pos"]).max(), (y["size"] - y["pos"]).max()) < need
-
-    near = cross_pairs(label(rows), ["key", "id", "size", "pos", "both", "n", "hub_n", "label"], shared_enough, too_little)
+    near = cross_pairs(label(rows), [*DIFFERENCES, "label"], shared_enough(percent), too_little(percent))
 
     # what is left by keys: sets that are not both known to resemble one hub
     marked = label(g)

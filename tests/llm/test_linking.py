@@ -49,10 +49,10 @@ def test_pairs_grow_with_the_lines(spark, monkeypatch, shared):
     """Lines with a common template at Jaccard similarities of about 0.38 and 0.54, of which none is linked: pairs are not squared."""
     measured, counts, links = line_dedup.measured, [], []
 
-    def counted(docs, classes, pairs):
+    def counted(texts, pairs, diffs=False):
         counts[-1] += pairs.count()
-        out = measured(docs, classes, pairs)
-        links.append(out.count())
+        out = measured(texts, pairs, diffs)
+        links.append(out.where("linked").count() if diffs else out.count())
         return out
 
     monkeypatch.setattr(line_dedup, "measured", counted)
