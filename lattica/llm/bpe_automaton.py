@@ -11,15 +11,18 @@ in order, is a gadget on it:
 All arcs of one label share an end state, so a state is named by its label, and
 a gadget is the triple (a, b, time). The arcs of a state are those of the state
 it was copied from, less the one removed, plus those that later gadgets add, so
-whether state u has arc x follows from the gadgets alone; the transition table
-holds each answer from its first use. (A dense table would have 49k x 49k
-entries.) Encoding follows arcs over a pre-split word's symbols, the longest label
-first. At most one path leads from the start to a position, so a position that
-was left for a dead end is never entered again and time is linear in the word. Decoding walks the ids and emits labels.
+whether state u has arc x follows from the gadgets alone; the transition table, by
+state and label, holds each answer from its first use. (Filled beforehand it would
+have 49k x 49k entries, 300 MB as bits, for each worker; the words of 26 MB of text
+use 128,000 of them.) Labels are read symbol by symbol from a second table, by
+node and symbol. At most one path leads from the start to a position, so encoding
+is one pass over a pre-split word that keeps the last label of the path to each
+position and follows the arcs of the table from there; nothing is tried twice.
+Decoding walks the ids and emits labels.
 
 Defined results: null text is an empty text (no ids, empty decoded text); rows
-are independent, so repeated rows, null ids and ties need nothing special; an
-empty table gives an empty result; strings of special tokens in a text become
+are independent, so repeated rows, null ids and ties need nothing special; other
+columns, whatever their names, are ignored; an empty table gives an empty result; strings of special tokens in a text become
 their ids, as in the library. Whole texts are encoded. Files that are not a
 word-level BPE of this kind raise ValueError.
 """
@@ -97,54 +100,50 @@ class Automaton:
             self.table[state, label] = known
         return known
 
-    def read(self, symbols: str, start: int, end: int) -> list[tuple[int, int]]:
-        """(label, stop) of every label that the symbols from start on spell, shortest first."""
-        node, out, stop = self.spelled, [], start
-        for symbol in symbols[start : end - 1]:
-            node = node.get(symbol)
-            if node is None:
-                return out
-            stop += 1
-            label = node.get(_INNER)
-            if label is not None:
-                out.append((label, stop))
-        node = node.get(symbols[end - 1])
-        if node is not None and (label := node.get(_LAST)) is not None:
-            out.append((label, end))
-        return out
-
     def encode(self, symbols: str) -> list[int]:
         """Ids of one pre-split word, given as byte symbols.
 
-        Only one path leads to each position, so one that was left is never tried again.
+        One pass: only one path leads to each position, so it is enough to keep the label that
+        it ends with, and no position is taken up again. From each reached position the labels
+        that begin there are read symbol by symbol; the table says which of them its state has.
         """
-        end, ids, stops, left, table, state = len(symbols), [], [], set(), self.final, -1
-        open_ = [self.read(symbols, 0, end)]
-        while open_:
-            choices = open_[-1]
-            if not choices:
-                open_.pop()
-                if ids:
-                    ids.pop()
-                    left.add(stops.pop())
-                    state = ids[-1] if ids else -1
-                continue
-            label, stop = choices.pop()
-            if stop in left:
+        end, spelled, table = len(symbols), self.spelled, self.final
+        last = symbols[end - 1]
+        state, origin = [-1] * (end + 1), [0] * (end + 1)
+        for start in range(end):
+            here = state[start]
+            if here < 0 < start:
                 continue
-            if state >= 0:
-                allowed = table.get(state << _LABEL_BITS | label)
-                if allowed is None:
-                    allowed = table[state << _LABEL_BITS | label] = self.arc(state, label, _EVER)
-                if not allowed:
-                    continue
-            ids.append(label)
-            if stop == end:
-                return ids
-            stops.append(stop)
-            state = label
-            open_.append(self.read(symbols, stop, end))
-        raise ValueError(f"no path reads {symbols!r}")
+            node, stop = spelled, start
+            while True:
+                if stop == end - 1:
+                    # the last symbol ends the word
+                    node = node.get(last)
+                    label = None if node is None else node.get(_LAST)
+                    stop, node = end, None
+                else:
+                    node = node.get(symbols[stop])
+                    if node is None:
+                        break
+                    stop += 1
+                    label = node.get(_INNER)
+                if label is not None and state[stop] < 0:
+                    allowed = True
+                    if start:
+                        allowed = table.get(here << _LABEL_BITS | label)
+                        if allowed is None:
+                            allowed = table[here << _LABEL_BITS | label] = self.arc(here, label, _EVER)
+                    if allowed:
+                        state[stop], origin[stop] = label, start
+                if node is None:
+                    break
+        if state[end] < 0:
+            raise ValueError(f"no path reads {symbols!r}")
+        ids, at = [], end
+        while at:
+            ids.append(state[at])
+            at = origin[at]
+        return ids[::-1]
 
 
 Part = tuple[list[int], str, str]
@@ -177,15 +176,15 @@ class Tokenizer:
     def word(self, word: str) -> Part:
         part = self.words.get(word)
         if part is None:
+            if len(self.automaton.final) > 4 * self.memo_entries:
+                self.automaton.final.clear()
+                self.automaton.table.clear()
             symbols = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
             ids = self.automaton.encode(symbols)
             part = ids, " ".join(map(str, ids)), self.decode(ids)
             if len(word) <= _MEMO_CHARS:
                 if len(self.words) >= self.memo_entries:
                     self.words.clear()
-                    if len(self.automaton.final) > 4 * self.memo_entries:
-                        self.automaton.final.clear()
-                        self.automaton.table.clear()
                 self.words[word] = part
         return part
 
