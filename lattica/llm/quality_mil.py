@@ -13,7 +13,8 @@ as such; without both labels to learn from the score is the share of label 1
 (0.5 if there is none). Labels other than 0 and 1 and null labels are not used.
 A document with several labels lends its passages to each. Rows are scored one by
 one, so repeated rows and null ids have no effect; a row without doc_id counts as
-held out. An empty table gives an empty result.
+held out. An empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from .codepoints import CLASSES, packs, points, tables
 from .common import held_out, over_batches, prepare
 
 PASSAGE = 512
-#: Documented bounds of the training sample: documents, and passages that each lends to it.
-TRAIN_ROWS, TRAIN_PASSAGES = 3000, 48
+#: Documented bounds of the training sample: its documents, and the length (in passages) up to which a labelled
+#: document can be drawn for it. A drawn document is learned from whole, and documents of any length are scored whole.
+TRAIN_ROWS, TRAIN_PASSAGES = 3000, 400
 KEEP_AT = 0.3
 _KINDS = len(CLASSES)
 _BUCKETS = 1024
@@ -151,20 +153,21 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     chance = F.when(F.col("y") == 1, min(1.0, half / counts.get(1, 1))).otherwise(min(1.0, half / counts.get(0, 1)))
     # the rows drawn are ids and marks only, train_rows at most: small enough to send to every executor
     drawn = marks.filter(F.pmod(F.xxhash64(F.lit("train"), "i"), F.lit(1_000_003)) < chance * 1_000_003).orderBy(F.xxhash64("i"), "i", "y").limit(train_rows)
-    bags = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).join(F.broadcast(drawn), "i").select("t", "i", "y")
+    fits = F.coalesce(F.length("t"), F.lit(0)) <= TRAIN_PASSAGES * PASSAGE
+    bags = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where(fits).join(F.broadcast(drawn), "i").select("t", "i", "y")
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, bag = passage_features(batch.column(0).to_pylist())
         blobs = []
         for r in range(batch.num_rows):
             mine = x[np.searchsorted(bag, r) : np.searchsorted(bag, r, "right")]
-            pick = np.unique(np.linspace(0, len(mine) - 1, TRAIN_PASSAGES).astype(int))
-            blobs.append(mine[pick].astype(np.float16).tobytes())
+            blobs.append(mine.astype(np.float16).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch.column(1), batch.column(2)], names=["x", "i", "y"])
 
-    # a doc_id may stand in many rows of documents; the limit holds for them too
+    # a doc_id may stand in many rows of documents; the bound holds for them too, in the order of a hash
     kind = bags.schema["i"].dataType.simpleString()
-    got = over_batches(bags, encode, f"x binary, i {kind}, y int").limit(train_rows).toArrow().sort_by([("i", "ascending"), ("y", "ascending"), ("x", "ascending")])
+    encoded = over_batches(bags, encode, f"x binary, i {kind}, y int")
+    got = encoded.orderBy(F.xxhash64("i", "x"), "i", "y", "x").limit(train_rows).toArrow().sort_by([("i", "ascending"), ("y", "ascending"), ("x", "ascending")])
     if not got.num_rows:
         return Model(0.5)
     parts = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in got.column("x").to_pylist()]
