@@ -15,7 +15,8 @@ Defined results: null text or one without a letter is `und` with score 0;
 nothing to learn from makes every prediction `und`; one language alone is
 always predicted; equal votes go to the language that sorts first. Rows are
 scored one by one, so repeated rows and null ids have no effect; an empty table
-gives an empty result. A row without doc_id counts as held out.
+gives an empty result; other columns, whatever their names, are ignored. A row
+without doc_id counts as held out.
 """
 
 from __future__ import annotations
@@ -168,7 +169,9 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         raise ValueError(f"more than {train_rows // LEAST_ROWS} languages for {train_rows} training rows")
     share = train_rows / len(counts)
     chance = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, share / n)))))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("train"), "i"), F.lit(1_000_003)) < F.element_at(chance, F.col("l")) * 1_000_003).limit(train_rows)
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("train"), "i"), F.lit(1_000_003)) < F.element_at(chance, F.col("l")) * 1_000_003)
+    # a few more than the bound may be drawn: those stay that come first by another hash
+    drawn = drawn.orderBy(F.xxhash64(F.lit("bound"), "i", "t"), "i").limit(train_rows)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, lettered = vectors(batch.column(0).to_pylist())
