@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import near_ids, over_batches, prepare, shared_path, table
 
 MIN_REVISIT, BLOCK_LINES = 1000, 512
+#: Keys that the copies of one payload are spread over.
+SALTS = 32
 #: Fixed value: pages carry no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 _ID = "urn:page:"
@@ -109,8 +111,10 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     p = p.withColumn("sha", F.sha1("payload")).withColumn("x", F.xxhash64("payload")).withColumn("n", F.octet_length("payload")).withColumn("u", F.xxhash64("url"))
     same = p.where(F.col("n") >= MIN_REVISIT).groupBy("sha", "x", "n").agg(F.max(F.struct("page_id", "u")).alias("top"), F.count("*").alias("copies")).where("copies > 1")
     same = table(same.select("sha", "x", "n", F.col("top.page_id").alias("to"), F.col("top.u").alias("tu"), F.lit(True).alias("again")), "equal_payloads")
-    # only pages whose payload may stand in the table meet it by key
-    known = near_ids(p, same, on="sha").join(same, ["sha", "x", "n"], "left")
+    # only pages whose payload may stand in the table meet it by key; copies of one payload are spread over SALTS
+    # keys, as the table's rows are small and payloads are not
+    salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = near_ids(p, same, on="sha").withColumn("salt", F.pmod(F.xxhash64("page_id", "u"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "x", "n", "salt"], "left")
     revisit = F.coalesce(F.col("again"), F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("to")) & F.col("u").eqNullSafe(F.col("tu")))
     known = known.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("to")).alias("refers_to"))
     alone = near_ids(p, same, inside=False, on="sha").select("page_id", "url", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
