@@ -219,3 +219,36 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
     return join_documents(documents(spark, sf_dir))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 2)) AS i FROM d WHERE len(ws) >= 4)
+  UNION ALL
+  SELECT r, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+k AS (SELECT r, any_value(n) AS n, list_sort(list(s)) AS whole FROM g JOIN n USING (r) GROUP BY r),
+c AS (SELECT whole, min(r) AS c, any_value(n) AS n FROM k GROUP BY whole),
+m AS (SELECT k.r, c.c FROM k JOIN c USING (whole)),
+p AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS shared
+  FROM g x JOIN g y ON x.s = y.s AND x.r < y.r
+  WHERE x.r IN (SELECT c FROM c) AND y.r IN (SELECT c FROM c)
+  GROUP BY x.r, y.r),
+e AS (
+  SELECT a, b FROM p JOIN n x ON a = x.r JOIN n y ON b = y.r
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (
+  SELECT c, c FROM c
+  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+least AS (SELECT c, min(doc_id) AS doc_id FROM m JOIN d USING (r) GROUP BY c),
+root AS (SELECT reach.a AS c, min(least.doc_id) AS component_id FROM reach JOIN least ON reach.b = least.c GROUP BY reach.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r) LEFT JOIN root ON root.c = m.c
+"""

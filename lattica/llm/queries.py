@@ -29,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_capture_index": capture_index.ORACLE_SQL,
         "op4_rule_cascade": rule_cascade.ORACLE_SQL,
         "op6_topk_blocks": topk_blocks.ORACLE_SQL,
+        "op8_license_scan": license_scan.ORACLE_SQL,
+        "op10_ngram_join": ngram_join.ORACLE_SQL,
     }

@@ -165,3 +165,128 @@ def test_licenses_match_plain_scan(spark, small, awkward, empty):
     for r in license_scan.scan(docs).collect():
         assert tuple(r)[1:] == license_scan.scan_text(texts[r.doc_id], index), r.doc_id
     assert license_scan.scan(empty).count() == 0 and ids(license_scan.scan(awkward)) == ids(awkward)
+
+
+def plain_features(text):
+    """Passage features with plain loops."""
+    _, kinds = codepoints.tables()
+    out = []
+    for at in range(0, max(1, len(text)), quality_mil.PASSAGE):
+        p = text[at : at + quality_mil.PASSAGE]
+        k = [int(kinds[ord(c)]) for c in p]
+        n = len(codepoints.CLASSES)
+        share = [0.0] * (n * n)
+        for x, y in zip(k, k[1:], strict=False):
+            share[x * n + y] += 1
+        share = [(v / max(1, len(p) - 1)) ** 0.5 for v in share]
+        slots = set()
+        for i in range(len(p) - 5):
+            h = 0
+            for c in p[i : i + 6]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            slots.add((h * 0xD6E8FEB86659FD93) % 2**64 >> 54)
+        expected = quality_mil._BUCKETS * (1 - np.exp(-max(0, len(p) - 5) / quality_mil._BUCKETS))
+        spaces = sum(x in (3, 4) for x in k)
+        out.append([*share, len(slots) / max(1, expected), np.log1p(len(p)) / 6, min(3, len(p) / (spaces + 1) / 10), float(not p)])
+    return out
+
+
+def plain_score(model, text):
+    """Gated attention over the passages, one number at a time."""
+    p, hidden, weights = model.p, [], []
+    for x in plain_features(text):
+        x = [(a - m) / s for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+        h = [np.tanh(sum(a * w for a, w in zip(x, col, strict=True)) + b) for col, b in zip(p["w"].T, p["wb"], strict=True)]
+        a = [np.tanh(sum(u * w for u, w in zip(h, col, strict=True))) for col in p["v"].T]
+        g = [1 / (1 + np.exp(-sum(u * w for u, w in zip(h, col, strict=True)))) for col in p["u"].T]
+        hidden.append(h)
+        weights.append(np.exp(sum(x * y * q for x, y, q in zip(a, g, p["q"], strict=True))))
+    z = [sum(w * h[i] for w, h in zip(weights, hidden, strict=True)) / sum(weights) for i in range(len(p["c"]))]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["cb"][0])))
+
+
+def test_quality_plainly_and_held_out(spark):
+    """Scores equal a plain-loop forward pass; on held-out rows they rank and decide as the labels do."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_mil.train(docs, labels)
+    texts = ["", "a", "Hello, world! 12", "ÀÉ x" * 300, "word " * 400] + [r.text for r in docs.orderBy("doc_id").limit(20).collect()]
+    for t, s in zip(texts, model.score(texts), strict=True):
+        assert abs(plain_score(model, t) - s) < 1e-3
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.score, r.predicted, truth[r.doc_id]) for r in quality_mil.score(docs, model).where("held_out").collect() if r.doc_id in truth]
+    good, bad = [s for s, _, y in held if y == 1], [s for s, _, y in held if y == 0]
+    assert len(held) > 50 and np.mean([p == y for _, p, y in held]) >= 0.93
+    assert np.mean([[(a > b) + 0.5 * (a == b) for b in bad] for a in good]) >= 0.97
+
+
+def plain_vector(text):
+    """Counts of hashed n-grams of letters, with plain loops."""
+    lower, _ = codepoints.tables()
+    c = [int(lower[ord(x)]) for x in text]
+    counts = [0.0] * language_id.DIMENSIONS
+    for order in (1, 2, 3):
+        for i in range(len(c)):
+            gram = [c[i + j] if i + j < len(c) else 0 for j in range(order)]
+            if (gram[0] == 0) if order == 1 else (gram[0] + gram[-1] == 0):
+                continue
+            h = gram[0]
+            for x in gram[1:]:
+                h = (h * 0x9E3779B97F4A7C15 + x) % 2**64
+            if h == 0 and order == 1:
+                continue
+            counts[((h * (0xD6E8FEB86659FD93 + 2 * order)) % 2**64 >> 53) % language_id.DIMENSIONS] += 1
+    v = [x**0.5 for x in counts]
+    norm = max(1e-9, sum(x * x for x in v) ** 0.5)
+    return [x / norm for x in v]
+
+
+def test_languages_plainly(small):
+    """Predictions and scores from plain loops: family first, then the votes of pairs within it."""
+    model = language_id.train(small)
+    sure = lambda x, w: 1 / (1 + np.exp(-max(-50, min(50, 4 * (sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1])))))
+    texts = ["Hello world", "é", "123", "der die das ß"] + [r.text for r in small.orderBy("doc_id").limit(25).collect() if r.text]
+    got_langs, got_scores = model.predict(texts)
+    for text, lang, score in zip(texts, got_langs, got_scores, strict=True):
+        if not any(ch.isalpha() for ch in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        x = [a - m for a, m in zip(plain_vector(text), model.mean, strict=True)]
+        of_family = [sure(x, w) for w in model.family_w]
+        f = max(range(len(of_family)), key=lambda i: of_family[i])
+        names = model.members[model.families[f]]
+        votes = {n: 0.0 for n in names}
+        for (a, b), w in model.pair_w.items():
+            if a in votes:
+                votes[a] += sure(x, w)
+                votes[b] += 1 - sure(x, w)
+        share = {n: v / (len(names) - 1) if len(names) > 1 else 1.0 for n, v in votes.items()}
+        best = max(names, key=lambda n: share[n])
+        assert abs(of_family[f] * share[best] - score) < 1e-3
+        assert lang == best or abs(share[lang] - share[best]) < 1e-4
+
+
+def test_bpe_query_equals_library(spark):
+    """The query's counts and hashes against the tokenizers library, on whole texts."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(bpe_automaton.default_path())
+    theirs.no_truncation()
+    theirs.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = bpe_automaton.query(spark, SF).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        ids = theirs.encode(texts[r.doc_id], add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False)))
+
+
+def test_cascade_spares_what_it_does_not_need(monkeypatch):
+    """After a rejection no further fact is computed; rules are ordered by what the ones before leave."""
+    f = rule_cascade.Facts(b"#" * 40)
+    assert rule_cascade._too_many_symbols(f) and set(vars(f)) == {"text", "n_symbols", "word_chars"}
+    rows = [([1.0, 4.0, 1.0], [True, True, False])] * 6 + [([1.0, 4.0, 1.0], [False, True, True])] * 3
+    # the second rejects all, at four times the cost; the first and the third together do so for less
+    assert rule_cascade.ordered(["a", "b", "c"], rows) == ["a", "c", "b"]
