@@ -45,7 +45,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The size that the optimizer expects: what it compares with the limit for broadcasts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
