@@ -137,3 +137,13 @@ def test_counters_add_up(spark):
     counts, rows = linking.counters(df, lambda batch: batch.column(0).to_numpy().astype(np.uint64) << np.uint64(60))
     assert rows == 5000 and counts.sum() == 5000 and sorted(counts[counts > 0]) == [500] * 10
     assert linking.counters(df.limit(0), lambda batch: batch.column(0).to_numpy())[1] == 0
+
+
+def test_ngram_join_matches_sql(spark):
+    import duckdb
+
+    from tests.llm.conftest import SF
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    assert sorted(map(tuple, ngram_join.query(spark, SF).collect())) == sorted(c.sql(ngram_join.ORACLE_SQL).fetchall())

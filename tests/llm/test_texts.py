@@ -290,3 +290,20 @@ def test_cascade_spares_what_it_does_not_need(monkeypatch):
     rows = [([1.0, 4.0, 1.0], [True, True, False])] * 6 + [([1.0, 4.0, 1.0], [False, True, True])] * 3
     # the second rejects all, at four times the cost; the first and the third together do so for less
     assert rule_cascade.ordered(["a", "b", "c"], rows) == ["a", "c", "b"]
+
+
+def test_licenses_match_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    assert sorted(map(repr, c.sql(license_scan.ORACLE_SQL).fetchall())) == sorted(repr(tuple(r)) for r in license_scan.query(spark, SF).collect())
+
+
+def test_license_templates():
+    """Key phrases stand in their wordings, the first one of each template holds a hint, and each template finds itself."""
+    import re
+
+    counts = {w: 1 for _, text, _ in license_scan.TEMPLATES for w in text.split()}
+    index = license_scan.rare_index(10, counts)
+    for label, wording, phrases in license_scan.TEMPLATES:
+        assert all(f" {p} " in f" {wording} " for p in phrases) and re.search(license_scan._HINT, phrases[0])
+        assert label in license_scan.scan_text(f"Some words. {wording.upper()}; more words", index)[5].split(",")
