@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,39 @@ def test_ngram_join_matches_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
     assert sorted(map(tuple, ngram_join.query(spark, SF).collect())) == sorted(c.sql(ngram_join.ORACLE_SQL).fetchall())
+
+
+def test_crowded_group_in_one_task(spark, monkeypatch):
+    """Near copies, of which many are just below the similarity to each other: no pairs leave the task, and none is missed."""
+
+    def unused(*args, **kwargs):
+        raise AssertionError("no index of pairs is needed for a group that one task compares")
+
+    monkeypatch.setattr(linking, "cross_pairs", unused)
+    rnd = random.Random(8)
+    base = text(rnd, 220)
+    lines = [near_line(rnd, base, rnd.randint(3, 8)) for _ in range(150)]
+    want, got = set(lines_brute(list(enumerate(lines)))), dropped(spark, lines)
+    assert want and len(got ^ want) <= 0.02 * len(want)
+
+
+def test_links_of_a_group():
+    """Components by the links of one group are those of all pairs; no more links than components that they join."""
+    rnd = random.Random(5)
+    base = text(rnd, 200)
+    lines = [near_line(rnd, base, rnd.randint(2, 9)) for _ in range(60)] + [text(rnd, 150) for _ in range(20)]
+    sets = [line_dedup.shingle_codes(x) for x in lines]
+    label = [min(i, 3) if i < 10 else i for i in range(len(lines))]
+    links = line_dedup._links_of(np.arange(len(lines)), np.array(label), sets)
+    names = [line_dedup.shingle_set(x) for x in lines]
+    own = [(i, label[i]) for i in range(len(lines))]
+    every = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(names[i] & names[j]) >= 80 * len(names[i] | names[j])]
+    want, got = (union_find(len(lines), [*own, *e]) for e in (every, links))
+    assert want == got and len(links) < len(set(label))
+
+
+def test_bands_move_in_blobs(spark):
+    """What meets by band is a few rows of each key range, not a row for each line and band."""
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, "\n".join(text(rnd, 40) for _ in range(20))) for i in range(200)], "doc_id long, text string").coalesce(2)
+    assert line_dedup.band_rows(docs, 8).count() <= 2 * 8 * 2
