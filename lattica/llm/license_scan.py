@@ -11,7 +11,8 @@ phrases stand at their places in it.
 
 Base places (two or three words in a row) come from the same positions. All of
 it is DataFrame functions on each row; only the frequencies are aggregated, one
-row for each word of the templates.
+row for each word of the templates. Texts are cut into words once: words of texts
+that hold a word of some phrase are written for the second pass.
 
 Defined results: null text is an empty text; without places first_word and
 last_word are null; without labels both label columns are empty strings and the
@@ -29,9 +30,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words after A-Z have become a-z, and before.
+from .common import table
+
+#: Words after A-Z have become a-z, and what stands between them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Base phrases and labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -69,7 +72,7 @@ TEMPLATES += tuple((f"cc-{kind.replace(' ', '-')}", f"licensed under cc {kind} {
 
 #: Words of a template that are looked up for a file, and the share of their postings that an alignment needs.
 RARE_WORDS, NEEDED = 5, 0.6
-#: Every base phrase and every first key phrase holds one of these pieces in some case: other texts have no label.
+#: Every base phrase and every first key phrase holds one of these pieces; a word with one is what texts are asked for.
 _HINT = r"(?i)licen|redistribution|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative|permission|unauthorized|reserved|semblance|endorse|organization|waived|unencumbered|warranty"
 _FAR = 1 << 40
 
@@ -78,24 +81,45 @@ def words(text: str) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
-def _upper_to_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _words(c: Column) -> Column:
+    """Words of a text, for comparison with words of ASCII only.
 
+    lower() is cheaper than translate() and differs from it in characters beyond ASCII, which stay
+    such: the one that does not, the Kelvin sign, is replaced by another letter beyond ASCII.
+    """
+    return F.array_remove(F.split(F.lower(F.replace(c, F.lit("\u212a"), F.lit("\u00e9"))), _BETWEEN), "")
 
-def _words(c: Column) -> Column:
-    return F.regexp_extract_all(_upper_to_lower(c), F.lit(WORD), F.lit(0))
 
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for _, text, _ in templates for w in text.split()} | _hints(templates))
 
-def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those that have each word of the templates."""
-    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
-    found = F.array_intersect(_words(F.coalesce("text", F.lit(""))), F.array(*(F.lit(w) for w in vocabulary)))
+
+def _hints(templates) -> set[str]:
+    """A word of every base phrase and every first key phrase: texts without any of these have no label."""
+    phrases = [p for p, _ in BASE] + [keys[0] if keys else wording for _, wording, keys in templates]
+    return {next((w for w in p.split() if re.search(_HINT, w)), p.split()[0]) for p in phrases}
+
+
+def _read(docs: DataFrame, templates) -> DataFrame:
+    """doc_id, n_words, found (words of the templates) and ws (all words of texts with a hint) of every row: texts are cut into words once."""
+    rows = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("ws"))
+    rows = rows.withColumn("found", F.array_intersect("ws", F.array(*(F.lit(w) for w in _vocabulary(templates)))))
+    hinted = F.arrays_overlap("found", F.array(*(F.lit(w) for w in sorted(_hints(templates)))))
+    return rows.select("doc_id", F.size("ws").cast("long").alias("n_words"), "found", F.when(hinted, F.col("ws")).otherwise(F.array().cast("array<string>")).alias("ws"))
+
+
+def _frequencies(rows: DataFrame) -> tuple[int, dict[str, int]]:
     # an empty word counts the documents
-    got = docs.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    got = rows.select(F.explode(F.concat(F.array(F.lit("")), "found")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r["w"]: r["n"] for r in got}
     return counts.pop("", 0), counts
 
 
+def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
+    """Number of documents, and of those that have each word of the templates."""
+    return _frequencies(_read(docs, templates))
+
+
 #: Of each template its words by descending inverse document frequency, with their positions.
 Index = list[list[tuple[str, list[int]]]]
 
@@ -120,9 +144,9 @@ def _phrases(templates) -> list[list[tuple[int, list[str]]]]:
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
-    index = rare_index(*document_frequencies(docs, templates), templates)
-    text = F.coalesce("text", F.lit(""))
-    hinted = docs.select("doc_id", text.alias("t")).select("doc_id", F.regexp_count("t", F.lit(_ANY_CASE)).cast("long").alias("n_words"), F.when(F.col("t").rlike(_HINT), _words(F.col("t"))).otherwise(F.array().cast("array<string>")).alias("ws"))
+    read = table(_read(docs, templates), "license_words")
+    index = rare_index(*_frequencies(read), templates)
+    hinted = read.select("doc_id", "n_words", "ws")
 
     at = lambda ws, i: F.get(ws, i)
 

@@ -307,3 +307,17 @@ def test_license_templates():
     for label, wording, phrases in license_scan.TEMPLATES:
         assert all(f" {p} " in f" {wording} " for p in phrases) and re.search(license_scan._HINT, phrases[0])
         assert label in license_scan.scan_text(f"Some words. {wording.upper()}; more words", index)[5].split(",")
+
+
+def test_license_texts_are_read_once(spark, tmp_path):
+    """The frequencies and the scan share one pass over the texts; letters beyond ASCII never become ASCII ones."""
+    rows = [(1, "MIT License \u212a"), (2, "the \u212aind of wor\u212a"), (3, "M\u0130T LICEN\u017fE, mit LICENSE"), (4, None), (5, ".."), (6, "one two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    out = license_scan.scan(docs)
+    assert not any("documents.parquet" in f for f in out.inputFiles())
+    index = license_scan.rare_index(*license_scan.document_frequencies(docs))
+    assert [tuple(r)[1:] for r in out.orderBy("doc_id").collect()] == [license_scan.scan_text(t, index) for _, t in rows]
+    every = [(c, "a" + chr(c) + "a") for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    letters = spark.createDataFrame(every, "c int, text string").select("c", license_scan._words("text").alias("ws"))
+    assert letters.where("size(ws) <> 1 or ws[0] rlike '^[a-z]+$'").count() == 0
