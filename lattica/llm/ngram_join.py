@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import free_caches, near_ids, numbered, over_batches, prepare, table, texts_as_bytes
+from .common import forget, free_caches, near_ids, numbered, over_batches, prepare, table, texts_as_bytes
 
 N_GRAM, PERCENT = 4, 85
 #: Share of the documents from which on a shingle counts as frequent.
@@ -132,6 +132,15 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
     w = sets(docs, frequent_slots(docs, n), n, percent)
     # one class for each set: its first row stands for it
     classes = table(w.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.col("rid").alias("lead"))).alias("least"), F.count("*").alias("copies")), "classes")
+    # copies are known by key only among rows that share a slot with one: index lists do not move for it
+    again = classes.where("copies > 1").select("digest", F.col("rid").alias("first"))
+    copies = table(w.where("n > 0").select("rid", "digest").join(again, "digest").where("rid <> first").select("rid"), "copies")
+    listed = w.where("n > 0").select("rid", "n", "keys")
+    reps = near_ids(listed, copies, inside=False, on="rid").unionByName(near_ids(listed, copies, on="rid").join(copies, "rid", "left_anti"))
+    met = table(linking.groups(postings(reps)), "groups")
+    # no later step reads the index lists of the sets
+    whole, w = w, table(w.drop("keys"), "sets")
+    forget(whole)
     sized = w.select("rid", "n", "signature")
     where_ = w.select("rid", "doc_id", "h")
 
@@ -172,17 +181,14 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
         ids = table(ids, "ids")
         texts = table(texts_of(docs, ids), "texts")
         out = linking.beside_hub(open_, texts.withColumnRenamed("rid", "id")).mapInArrow(overlap, linking.MEASURED)
-        if not diffs:
-            return out
-        closed = judged.where("not open").select("a", "b", "na", "nb", F.lit(0).cast("long").alias("least"), "most", F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))
-        return out.unionByName(closed)
-
-    # copies are known by key only among rows that share a slot with one: index lists do not move for it
-    again = classes.where("copies > 1").select("digest", F.col("rid").alias("first"))
-    copies = table(w.where("n > 0").select("rid", "digest").join(again, "digest").where("rid <> first").select("rid"), "copies")
-    listed = w.where("n > 0").select("rid", "n", "keys")
-    reps = near_ids(listed, copies, inside=False, on="rid").unionByName(near_ids(listed, copies, on="rid").join(copies, "rid", "left_anti"))
-    _, labels = linking.link(postings(reps), measure, percent)
+        if diffs:
+            out = out.unionByName(judged.where("not open").select("a", "b", "na", "nb", F.lit(0).cast("long").alias("least"), "most", F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff")))
+        out = table(out, "measured")
+        for done in (texts, ids, judged):
+            forget(done)
+        return out
+
+    _, labels = linking.link(met, measure, percent)
     # classes that are alone and have no copies keep their own id: only the others are joined to the rows
     marked = classes.join(labels.withColumnRenamed("id", "rid"), "rid", "left").where("root is not null or copies > 1").select("digest", "least", F.coalesce("root", "rid").alias("root"))
     least = marked.groupBy("root").agg(F.min("least").alias("least"))

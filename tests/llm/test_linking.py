@@ -184,3 +184,19 @@ def test_bands_move_in_blobs(spark):
     rnd = random.Random(6)
     docs = spark.createDataFrame([(i, "\n".join(text(rnd, 40) for _ in range(20))) for i in range(200)], "doc_id long, text string").coalesce(2)
     assert line_dedup.band_rows(docs, 8).count() <= 2 * 8 * 2
+
+
+def test_ngram_join_removes_its_tables(spark):
+    """Texts, index lists and first groups are not kept once no later step reads them."""
+    from pathlib import Path
+
+    from lattica.llm.common import shared_root
+
+    def kept():
+        root = Path(shared_root(spark).removeprefix("file://"))
+        return {p.name for p in root.iterdir() if p.name.split("-")[1] in ("texts", "ids", "groups", "sets", "hubs")}
+
+    before = kept()
+    rows = list(enumerate(near_texts(5, 6, 14)))
+    ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(x.split("-")[1] for x in kept() - before) == ["hubs", "sets"]
