@@ -168,18 +168,26 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def beside_hub(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, text of b), dealt by a; before the pairs of each a stands one row with b null and the text of a.
+def hub_uses(pairs: DataFrame) -> DataFrame:
+    """a, part, b, id: the id whose text stands where pairs (a, b) are measured, b null for the hub a itself.
 
-    pairs: a, b; texts: id, text. So a hub's text is moved and read once, or for a hub of
-    many pairs once for each HUB_PAIRS of them, in as many tasks.
+    A hub is there once, or if it has many pairs once for each HUB_PAIRS of them, in as many tasks.
     """
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
-    hubs = load.join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
-    rest = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    rest = rest.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    return hubs.unionByName(rest).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
+    hubs = load.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
+    rest = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("b").alias("id"))
+    return hubs.unionByName(rest)
+
+
+def dealt_by_hub(used: DataFrame) -> DataFrame:
+    """(a, b, text) of rows a, part, b, text, dealt by a and part; the hub's own row, with b null, comes before its pairs."""
+    n = int(used.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return used.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
+
+
+def beside_hub(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text of b) of pairs (a, b) and texts (id, text), the text of a with b null before them, as dealt_by_hub says."""
+    return dealt_by_hub(hub_uses(pairs).join(texts.select("id", "text"), "id"))
 
 
 def one_label(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> bool:

@@ -117,13 +117,13 @@ def postings(of: DataFrame) -> DataFrame:
     return over_batches(of.select("rid", "n", "keys"), run, linking.POSTING)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rid, text of the rows (rid, doc_id, h) in ids; of repeated rows one."""
+def texts_of(docs: DataFrame, uses: DataFrame) -> DataFrame:
+    """a, part, b, text for each of uses (a, part, b, doc_id, h): a row's text, which of repeated rows one has."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = near_ids(docs.select("doc_id", "text"), ids).withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("doc_id", "h"))
-    # texts move once: what is dealt by k serves the distinct and the join
-    near = near.repartition(n, "k").dropDuplicates(["k", "doc_id", "h"]).alias("d")
-    return near.join(ids.withColumn("k", F.xxhash64("doc_id", "h")).repartition(n, "k").alias("i"), F.expr("d.k = i.k and d.doc_id <=> i.doc_id and d.h = i.h")).select("i.rid", "d.text")
+    # one key, in which nulls are equal, of one type on both sides: what is dealt by it serves the distinct and the join, so texts move once
+    key = F.struct("doc_id", "h").cast(f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},h:bigint>").alias("k")
+    near = near_ids(docs.select("doc_id", "text"), uses).withColumn("h", F.xxhash64("text")).select(key, "text")
+    return near.repartition(n, "k").dropDuplicates(["k"]).join(uses.select("a", "part", "b", key).repartition(n, "k"), "k").select("a", "part", "b", "text")
 
 
 def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) -> DataFrame:
@@ -177,14 +177,12 @@ def component_rows(docs: DataFrame, n: int = N_GRAM, percent: int = PERCENT) ->
         open_ = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "s1", "s2")
         judged = table(over_batches(open_, lambda batch: bounded(batch, linking.NEAR if diffs else percent), "a long, b long, na long, nb long, most long, open boolean"), "pairs")
         open_ = judged.where("open").select("a", "b")
-        ids = open_.select(F.col("a").alias("rid")).union(open_.select("b")).distinct().join(where_, "rid")
-        ids = table(ids, "ids")
-        texts = table(texts_of(docs, ids), "texts")
-        out = linking.beside_hub(open_, texts.withColumnRenamed("rid", "id")).mapInArrow(overlap, linking.MEASURED)
+        uses = table(linking.hub_uses(open_).join(where_.withColumnRenamed("rid", "id"), "id"), "uses")
+        out = linking.dealt_by_hub(texts_of(docs, uses)).mapInArrow(overlap, linking.MEASURED)
         if diffs:
             out = out.unionByName(judged.where("not open").select("a", "b", "na", "nb", F.lit(0).cast("long").alias("least"), "most", F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff")))
         out = table(out, "measured")
-        for done in (texts, ids, judged):
+        for done in (uses, judged):
             forget(done)
         return out
 

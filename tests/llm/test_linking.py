@@ -200,3 +200,25 @@ def test_ngram_join_removes_its_tables(spark):
     rows = list(enumerate(near_texts(5, 6, 14)))
     ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(x.split("-")[1] for x in kept() - before) == ["hubs", "sets"]
+
+
+def test_ngram_join_moves_texts_once(spark, monkeypatch):
+    """Joins that are not broadcast deal texts by the key of their row, then to their pairs, and no third time; ids may be null."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, dealt = [], linking.dealt_by_hub
+
+    def seen(used):
+        out = dealt(used)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(linking, "dealt_by_hub", seen)
+    try:
+        rows = list(enumerate(near_texts(5, 6, 14)))
+        rows = [(None if i % 7 == 0 else i, x) for i, x in rows] + rows[3:5] * 2
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == join_brute(rows, 4, 85)
+    # one exchange for texts, one for their uses, one to the pairs; what else is shuffled is ids or slots
+    assert plans and all(p.count("REPARTITION_BY_NUM") == 3 and "SortMergeJoin" in p and p.count("ENSURE_REQUIREMENTS") == p.count("Exchange hashpartitioning(lattica_slot") for p in plans)
