@@ -222,3 +222,14 @@ def test_ngram_join_moves_texts_once(spark, monkeypatch):
     assert got == join_brute(rows, 4, 85)
     # one exchange for texts, one for their uses, one to the pairs; what else is shuffled is ids or slots
     assert plans and all(p.count("REPARTITION_BY_NUM") == 3 and "SortMergeJoin" in p and p.count("ENSURE_REQUIREMENTS") == p.count("Exchange hashpartitioning(lattica_slot") for p in plans)
+
+
+def test_codes_kept_are_bounded():
+    """By their number, not by that of the lines: long lines would otherwise fill a worker's memory."""
+    rnd = np.random.default_rng(4)
+    lines = ["".join(map(chr, rnd.integers(97, 123, size=300_000))) for _ in range(12)]
+    codes = line_dedup.Codes()
+    for _ in range(2):
+        for i, line in enumerate(lines):
+            assert np.array_equal(codes.of(i, line), line_dedup.shingle_codes(line))
+            assert codes.size == sum(map(len, codes.by_id.values())) <= line_dedup.WHOLE
