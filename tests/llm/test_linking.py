@@ -1,13 +1,14 @@
 """Recall, growth and the split of large groups in operators 9 and 10."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import line_dedup, linking, ngram_join
+from lattica.llm import common, line_dedup, linking, ngram_join
 from tests.llm.test_tables import join_brute, lines_brute, near_texts, union_find
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz      "
@@ -233,3 +234,36 @@ def test_codes_kept_are_bounded():
         for i, line in enumerate(lines):
             assert np.array_equal(codes.of(i, line), line_dedup.shingle_codes(line))
             assert codes.size == sum(map(len, codes.by_id.values())) <= line_dedup.WHOLE
+
+
+def test_near_ids_of_many_ids(spark):
+    """Rows of other ids stay where they are, however many the ids are: a row in five is wanted, and no slot is full."""
+    docs = spark.range(1_000_000).select((F.col("id") * 7).alias("doc_id"))
+    ids = docs.where("doc_id % 5 = 0")
+    near = common.near_ids(docs, ids)
+    assert near.count() < 1.02 * ids.count()
+    assert near.join(ids, "doc_id").count() == ids.count()
+    assert near.unionByName(common.near_ids(docs, ids, inside=False)).agg(F.count("*"), F.sum("doc_id")).first() == docs.agg(F.count("*"), F.sum("doc_id")).first()
+    null = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert common.near_ids(null, null.where("doc_id is null")).collect() == [(None,)]
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    """No shuffle file is left of a written table or of counters, though its DataFrame is still there; the session's setting stays."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    def gone(before):
+        return any(not (time.sleep(0.1) or files() - before) for _ in range(100))
+
+    before, setting = files(), spark.conf.get(common._CLEANUP)
+    rows = spark.range(10_000).select((F.col("id") % 97).alias("k"))
+    made = rows.groupBy("k").count().join(rows.groupBy("k").agg(F.max("k").alias("m")).hint("shuffle_merge"), "k")
+    out = common.table(made, "sums")
+    assert gone(before) and out.count() == 97
+    before = files()
+    assert linking.counters(rows, lambda batch: batch.column(0).to_numpy().astype(np.uint64))[1] == 10_000
+    assert gone(before) and spark.conf.get(common._CLEANUP) == setting
+    assert made.count() == 97 and common.table(made, "sums").count() == 97
